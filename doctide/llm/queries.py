@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctide.llm import license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_rules, sharding, topk
+from doctide.llm import license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_rules, sharding, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents")
+    return suffix_dedup.dedup(rows).select(
+        "doc_id", (F.octet_length("_kept") + F.col("_n_removed")).cast("long").alias("n_bytes"),
+        F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"),
+        F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -63,5 +71,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_line_dedup, op5_ngram_join, op6_piece_codec, op7_sharding, op8_quality_rules, op9_topk_search, op10_mixing)}
+    op1_license_scan, op2_line_dedup, op3_suffix_dedup, op5_ngram_join, op6_piece_codec, op7_sharding, op8_quality_rules, op9_topk_search, op10_mixing)}
 ORACLES: dict[str, str] = {}
