@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctide.llm import license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_rules, sharding, suffix_dedup, topk
+from doctide.llm import license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, sharding, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,16 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    rows = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
+    model = quality_model.train(rows, labels, label="quality")
+    return quality_model.score(rows, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -71,5 +81,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_line_dedup, op3_suffix_dedup, op5_ngram_join, op6_piece_codec, op7_sharding, op8_quality_rules, op9_topk_search, op10_mixing)}
+    op1_license_scan, op2_line_dedup, op3_suffix_dedup, op4_quality_model, op5_ngram_join, op6_piece_codec, op7_sharding, op8_quality_rules, op9_topk_search, op10_mixing)}
 ORACLES: dict[str, str] = {}
