@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from doctide.llm.work import Work
 
 SPACE = r"[\x20\x09-\x0D]+"
-TARGET_ENTROPY, MAX_EPOCHS, BLOCK_TOKENS, SEED = 0.98, 2.0, 1 << 20, 11
+TARGET_ENTROPY, MAX_EPOCHS, BLOCK_TOKENS, SEED = 0.999, 2.0, 1 << 20, 11
 BUCKET_ROWS = 4096
 STEPS = 60
 

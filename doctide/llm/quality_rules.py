@@ -29,7 +29,7 @@ SYMBOLS = r"[^#*$%&|<>]+"
 SIGNALS = (
     ("symbol_share", None, 0.06),
     ("capital_share", None, 0.25),
-    ("dup_line_share", None, 0.30),
+    ("dup_line_share", None, 0.50),
     ("word_length", 2.5, 4.0),
 )
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
