@@ -29,6 +29,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,7 +43,9 @@ from doctide.llm.work import Work
 N, PERCENT = 4, 85
 FREQUENT, OFTEN = 500_000, 8
 #: n-grams that are counted together in a task, and words whose hash a task remembers.
-COUNT_AT_ONCE, WORDS_KEPT = 1 << 22, 500_000
+COUNT_AT_ONCE, WORDS_KEPT = 1 << 21, 200_000
+#: Bytes of text whose words, and pairs of texts that, are in a task's memory together.
+AT_ONCE, PAIRS_AT_ONCE = 1 << 21, 256
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -63,31 +67,59 @@ class Shingler:
     def __init__(self, n: int):
         self.n, self.words = n, _Words()
 
-    def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """Sorted distinct 64-bit hashes for each text."""
+    def sets(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(64-bit hashes of all texts, sorted and distinct within a text; how many each text has).
+
+        Words of about AT_ONCE bytes are in memory at once.
+        """
+        flat, sizes, at = [], [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < AT_ONCE):
+                size += len(texts[end] or b"")
+                end += 1
+            for out, part in zip((flat, sizes), self._sets(texts[at:end])):
+                out.append(part)
+            at = end
+        if not flat:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _sets(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
         n = self.n
         split = [t.lower().split() if t else [] for t in texts]
         counts = np.array([len(w) for w in split], np.int64)
-        flat = np.fromiter((self.words[w] for ws in split for w in ws), np.uint64, int(counts.sum()))
-        grams = flat[:max(len(flat) - n + 1, 0)].copy()
+        total = int(counts.sum())
+        flat = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.uint64, total)
+        grams = flat[:max(total - n + 1, 0)].copy()
         for j in range(1, n):
             grams = mix(grams * _A + flat[j:j + len(grams)])
-        grams = mix(grams ^ _C)
-        out, at = [], 0
-        for c in counts.tolist():
-            if c >= n:
-                out.append(np.unique(grams[at:at + c - n + 1]))
-            elif c:
-                x = flat[at:at + 1] + np.uint64(c)
-                for j in range(1, c):
-                    x = mix(x * _C + flat[at + j:at + j + 1])
-                out.append(mix(x ^ _A))
-            else:
-                out.append(np.zeros(0, np.uint64))
-            at += c
-        return out
+        grams = np.append(mix(grams ^ _C), np.zeros(total - len(grams), np.uint64))
+        begin = np.cumsum(counts) - counts
+        for k in np.flatnonzero((counts > 0) & (counts < n)):  # all words as one
+            c, at = int(counts[k]), int(begin[k])
+            x = flat[at:at + 1] + np.uint64(c)
+            for j in range(1, c):
+                x = mix(x * _C + flat[at + j:at + j + 1])
+            grams[at] = mix(x ^ _A)[0]
+        sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+        for a, c in zip(begin.tolist(), sizes.tolist()):
+            if c > 1:
+                grams[a:a + c].sort()
+        row = np.repeat(np.arange(len(texts)), sizes)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
+        grams = grams[at]
+        new = np.append(True, (grams[1:] != grams[:-1]) | (row[1:] != row[:-1]))[:len(grams)]
+        return grams[new], np.bincount(row[new], minlength=len(texts))
+
+
+def sums(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of each set's values, modulo 2**64."""
+    total = np.append(np.uint64(0), np.cumsum(x, dtype=np.uint64))
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -104,19 +136,18 @@ def _scan(n: int):
         shingler, held, size = Shingler(n), [], 0
 
         def counted():
-            grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            grams, counts = grams[counts > 1], counts[counts > 1]
+            grams = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(first, len(grams)))
+            grams, counts = grams[first[counts > 1]], counts[counts > 1]
             zero = np.zeros(len(grams), np.int64)
             return _record(1, _signed(grams), counts, zero, zero)
 
         for batch in batches:
-            sets = shingler.sets(batch.column("text").to_pylist())
-            yield _record(
-                0, batch.column("id"), np.array([len(s) for s in sets], np.int64),
-                _signed(np.array([mix(s + _A).sum(dtype=np.uint64) for s in sets], np.uint64)),
-                _signed(np.array([mix(s ^ _B).sum(dtype=np.uint64) for s in sets], np.uint64)))
-            held += sets
-            size += sum(map(len, sets))
+            grams, sizes = shingler.sets(batch.column("text").to_pylist())
+            yield _record(0, batch.column("id"), sizes, _signed(sums(mix(grams + _A), sizes)), _signed(sums(mix(grams ^ _B), sizes)))
+            held.append(grams)
+            size += len(grams)
             if size > COUNT_AT_ONCE:
                 yield counted()
                 held, size = [], 0
@@ -134,29 +165,23 @@ def _prefixes(n: int, percent: int, shared):
     def run(batches):
         shingler = Shingler(n)
         grams, often = (np.frombuffer(x, np.uint64) for x in shared.value)
-        for batch in batches:
-            sets = shingler.sets(batch.column("text").to_pylist())
-            sizes = np.array([len(s) for s in sets], np.int64)
-            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            weight = np.zeros(len(every), np.uint64)
-            if len(grams):
+        for batch in (b.slice(k, 2048) for b in batches for k in range(0, len(b), 2048)):
+            every, sizes = shingler.sets(batch.column("text").to_pylist())
+            begin = np.cumsum(sizes) - sizes
+            if len(grams):  # frequent ones go last: only sets that hold some need another order
                 at = np.minimum(np.searchsorted(grams, every), len(grams) - 1)
                 weight = np.where(grams[at] == every, often[at], np.uint64(0))
-            tokens, takes, begin = [], [], 0
-            for s, c in zip(sets, sizes.tolist()):
-                w = weight[begin:begin + c]
-                begin += c
-                p = int(prefix_length(c, percent)) if c else 0
-                takes.append(p)
-                tokens.append((s[np.lexsort((s, w))] if w.any() else s)[:p])
-            takes = np.array(takes, np.int64)
-            total = int(takes.sum())
-            row = np.repeat(np.arange(len(sets)), takes)
-            pos = np.arange(total) - np.repeat(np.cumsum(takes) - takes, takes)
-            h1 = np.array([mix(s + _A).sum(dtype=np.uint64) for s in sets], np.uint64)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                for k in np.unique(row[weight > 0]).tolist():
+                    a, b = begin[k], begin[k] + sizes[k]
+                    every[a:b] = every[a:b][np.argsort(weight[a:b], kind="stable")]
+            takes = np.where(sizes > 0, prefix_length(sizes, percent), 0)
+            row = np.repeat(np.arange(len(sizes)), takes)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(takes) - takes, takes)
+            h1 = sums(mix(every + _A), sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(np.concatenate(tokens)) if tokens else [], pa.int64()), batch.column("id").take(pa.array(row)),
-                 pa.array(_signed(h1)[row], pa.int64()), pa.array(sizes[row], pa.int32()), pa.array(pos, pa.int32())],
+                [pa.array(_signed(every[begin[row] + pos])), batch.column("id").take(pa.array(row)),
+                 pa.array(_signed(h1)[row]), pa.array(sizes[row].astype(np.int32)), pa.array(pos.astype(np.int32))],
                 ["token", "id", "h1", "n", "pos"])
     return run
 
@@ -164,21 +189,21 @@ def _prefixes(n: int, percent: int, shared):
 def _verify(n: int):
     def run(batches):
         shingler = Shingler(n)
-        for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            texts, known = {}, {}
-            for side, ids in (("ta", a.to_pylist()), ("tb", b.to_pylist())):
-                for i, t in zip(ids, batch.column(side).to_pylist()):
-                    texts.setdefault((i, t))
-            for (i, t), s in zip(texts, shingler.sets([t for _, t in texts])):
-                known[i, t] = s
+        for batch in (b.slice(k, PAIRS_AT_ONCE) for b in batches for k in range(0, len(b), PAIRS_AT_ONCE)):
+            sides = [list(zip(batch.column(i).to_pylist(), batch.column(t).to_pylist())) for i, t in (("a", "ta"), ("b", "tb"))]
+            texts = list(dict.fromkeys(sides[0] + sides[1]))
+            flat, sizes = shingler.sets([t for _, t in texts])
+            known = dict(zip(texts, np.split(flat, np.cumsum(sizes)[:-1])))
             inter, union = [], []
-            for i, j, ta, tb in zip(a.to_pylist(), b.to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
-                x, y = known[i, ta], known[j, tb]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                inter.append(both)
-                union.append(len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(inter, pa.int32()), pa.array(union, pa.int32())], ["a", "b", "inter", "uni"])
+            for x, y in zip(*sides):
+                x, y = known[x], known[y]
+                both = np.concatenate([x, y])
+                both.sort()
+                inter.append(int((both[1:] == both[:-1]).sum()))
+                union.append(len(x) + len(y) - inter[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(inter, pa.int32()), pa.array(union, pa.int32())],
+                ["a", "b", "inter", "uni"])
     return run
 
 
@@ -218,7 +243,7 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
         _prefixes(n, percent, shared), "token long, id long, h1 long, n int, pos int"), "index")
     lists = index.groupBy("token").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("token")
     reps = member.filter("rep IS NOT NULL").select("id", "rep").distinct()
-    entries = (index.join(lists, "token").join(reps.filter("id = rep").select("id"), "id")
+    entries = (index.join(lists.hint("shuffle_hash"), "token").join(reps.filter("id = rep").select("id"), "id")
                .withColumn("most", (F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent) - F.col("n")).cast("int"))
                .select("token", "id", "n", "pos", "most"))
     entries = work.put(entries, "entries")
