@@ -14,8 +14,10 @@ are then compared:
 
 * the strings between one anchor and the next form a segment.  A segment that occurs
   twice repeats in all its strings;
-* segments that do not, beside others of the same anchor, are opened: each of their
-  strings is looked for among all strings of the anchor's segments.
+* segments that do not, beside others of the same anchor, are opened: first in blocks
+  of ``BLOCK`` strings, which are looked for among those blocks that have the same core
+  (the bytes that all strings of a block share), then, where a core has several kinds
+  of blocks, string by string.
 
 Comparisons use two independent 64-bit fingerprints.  No step brings the rows of an
 anchor together: counts are summed before the shuffle, and joins are of a kind that
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from doctide.llm.work import Work
 
 LENGTH, GRAM, BATCHES = 200, 40, 4
+#: Strings of a segment that are compared as one.
+BLOCK = 8
 #: Bytes that are scanned at once.
 CHUNK = 1 << 18
 NO_ID = -(1 << 63)
@@ -170,20 +174,77 @@ def _index(n_batches: int):
     return run
 
 
-def _open(batches):
-    """Two fingerprints of every string of the listed segments."""
+def _parts(batch: pa.RecordBatch, most: int = 4096):
+    """Listed stretches of the texts, some at a time: (row, stretch as dict, bytes one after the other, where each begins)."""
+    rows, found, parts = [], [], []
+    for k, (text, listed) in enumerate(zip(batch.column("text").to_pylist(), batch.column("listed").to_pylist())):
+        for x in listed:
+            rows.append(k)
+            found.append(x)
+            parts.append(text[x["s"]:x["s"] + x["n"] + LENGTH - 1])
+            if len(parts) == most:
+                yield rows, found, parts
+                rows, found, parts = [], [], []
+    if parts:
+        yield rows, found, parts
+
+
+def _laid_out(found: list[dict], parts: list[bytes]):
+    """(data, part of each string, place of each string in data, first string of each part)."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    size = np.array([len(x) for x in parts], np.int64)
+    base = np.cumsum(size) - size
+    n = np.array([x["n"] for x in found], np.int64)
+    part = np.repeat(np.arange(len(parts)), n)
+    at = np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n) + base[part]
+    return data, part, at, base
+
+
+def _blocks(batches):
+    """Strings of a segment in blocks of BLOCK by their distance from the anchor: fingerprints of what all
+    strings of the block share (core) and of the strings that are there (whole)."""
+    for batch in batches:
+        for rows, found, parts in _parts(batch):
+            data, part, at, base = _laid_out(found, parts)
+            key = np.array([x["key"] for x in found], np.int64).view(np.uint64)
+            prints = Prints(data)
+            grams = mix(prints.of(GRAM))
+            size = np.array([len(x) for x in parts], np.int64) - GRAM + 1
+            own = np.repeat(np.arange(len(parts)), size)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + base[own]
+            hits = place[grams[place] == key[own]]
+            anchor = hits[np.searchsorted(hits, at)]
+            block = (anchor - at) // BLOCK
+            new = np.append(True, (block[1:] != block[:-1]) | (part[1:] != part[:-1]) | (anchor[1:] != anchor[:-1]))
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(at)))
+            last = first + n - 1
+            core = prints.of(LENGTH - BLOCK + 1)[anchor[first] - block[first] * BLOCK]
+            whole = prints.of(LENGTH)
+            whole = mix(whole[at[first]] + mix(whole[at[last]] + n.astype(np.uint64)))
+            core = mix(core + mix(block[first].astype(np.uint64)))
+            owner = part[first]
+            doc = pa.array(np.array(rows, np.int64)[owner])
+            pick = lambda name, kind: pa.array(np.array([x[name] for x in found], kind)[owner])
+            start = np.array([x["s"] for x in found], np.int64)[owner] + at[first] - base[owner]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), batch.column("id").take(doc), batch.column("crc").take(doc),
+                 pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pick("c", np.int64), pick("again", np.int32)],
+                ["core", "whole", "id", "crc", "s", "n", "c", "again"])
+
+
+def _strings(batches):
+    """Two fingerprints of each string of the listed blocks."""
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("w1", "w2", "id", "crc", "at", "c")}
-        for text, i, crc, listed in zip(*(batch.column(c).to_pylist() for c in ("text", "id", "crc", "listed"))):
-            for x in listed:
-                part = np.frombuffer(text, np.uint8, x["n"] + LENGTH - 1, x["s"])
-                for k in (0, 1):
-                    out[f"w{k + 1}"].append(mix(Prints(part, k).of(LENGTH)).view(np.int64))
-                out["at"].append(np.arange(x["s"], x["s"] + x["n"], dtype=np.int32))
-                for name, value in (("id", i), ("crc", crc), ("c", x["c"])):
-                    out[name].append(np.full(x["n"], value, np.int64))
-        yield pa.RecordBatch.from_pydict({
-            k: pa.array(np.concatenate(v) if v else [], pa.int32() if k == "at" else pa.int64()) for k, v in out.items()})
+        for rows, found, parts in _parts(batch):
+            data, part, at, base = _laid_out(found, parts)
+            doc = pa.array(np.array(rows, np.int64)[part])
+            start = np.array([x["s"] for x in found], np.int64)[part] + at - base[part]
+            w1, w2 = (mix(Prints(data, k).of(LENGTH))[at].view(np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(w1), pa.array(w2), batch.column("id").take(doc), batch.column("crc").take(doc), pa.array(start.astype(np.int32)),
+                 pa.array(np.array([x["c"] for x in found], np.int64)[part])],
+                ["w1", "w2", "id", "crc", "s", "c"])
 
 
 def covered(runs, size: int) -> list[tuple[int, int]]:
@@ -265,23 +326,46 @@ def repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", n_batches
         F.min(F.struct("id", "crc", "s", "n")).alias("one")), "segments")
     # segments that occur twice repeat in whole
     whole = candidates.join(counts.filter("c > 1").select("key", "seg"), ["key", "seg"]).select("id", "crc", "s", "n")
-    # anchors with a segment that occurs once, and others, or with one that repeats within itself
-    mixed = counts.groupBy("key").agg(
-        F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"), F.max("again").alias("again")).filter(
-        "(kinds > 1 OR again = 1) AND least = 1").select("key")
-    listed = (counts.join(mixed, "key", "left_semi").groupBy("one.id", "one.crc")
-              .agg(F.collect_list(F.struct("one.s", "one.n", "c")).alias("listed")))
-    strings = work.put(rows.join(listed.hint("shuffle_hash"), ["id", "crc"]).select("text", "id", "crc", "listed").mapInArrow(
-        _open, "w1 long, w2 long, id long, crc long, at int, c long"), "strings")
+    whole = work.put(whole, "whole")
+    work.drop("candidates", "keys", *[f"found-level-{k}" for k in range(family.made)])
+
+    # segments that occur once, beside others of their anchor or with strings that may repeat within: by blocks
+    blocks = work.put(_listed(rows, _undecided(counts, "key"), "key").mapInArrow(
+        _blocks, "core long, whole long, id long, crc long, s int, n int, c long, again int"), "blocks")
+    work.drop("segments")
+    kinds = work.put(blocks.groupBy("core", "whole").agg(
+        F.sum("c").alias("c"), F.max("again").alias("again"), F.min(F.struct("id", "crc", "s", "n")).alias("one")), "kinds")
+    same = blocks.filter("c = 1").join(kinds.filter("c > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+    same = work.put(same.select("id", "crc", "s", "n"), "same")
+    work.drop("blocks")
+
+    # blocks that occur once, beside others with their core: string by string
+    strings = work.put(_listed(rows, _undecided(kinds, "core")).mapInArrow(
+        _strings, "w1 long, w2 long, id long, crc long, s int, c long"), "strings")
+    work.drop("kinds")
     twice = strings.groupBy("w1", "w2").agg(F.sum("c").alias("total")).filter("total > 1").select("w1", "w2")
-    single = strings.filter("c = 1").join(twice, ["w1", "w2"], "left_semi").select(
-        "id", "crc", F.col("at").alias("s"), F.lit(1).alias("n"))
-    runs = whole.union(single).groupBy("id", "crc").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    single = strings.filter("c = 1").join(twice, ["w1", "w2"], "left_semi").select("id", "crc", "s", F.lit(1).alias("n"))
+    runs = whole.union(same).union(single).groupBy("id", "crc").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
     runs = work.put(runs, "runs")
-    work.drop("candidates", "segments", "strings", "keys", *[f"found-level-{k}" for k in range(family.made)])
+    work.drop("whole", "same", "strings")
     return runs
 
 
+def _undecided(kinds: DataFrame, key: str) -> DataFrame:
+    """Kinds (c, again, one) of the keys that have a kind that occurs once, and another or a repeat within."""
+    mixed = kinds.groupBy(key).agg(
+        F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"), F.max("again").alias("again")).filter(
+        "(kinds > 1 OR again = 1) AND least = 1").select(key)
+    return kinds.join(mixed, key, "left_semi")
+
+
+def _listed(rows: DataFrame, kinds: DataFrame, *more: str) -> DataFrame:
+    """text, id, crc, listed: one place of each kind, collected for the text that holds it (bounded by its length)."""
+    listed = kinds.groupBy("one.id", "one.crc").agg(
+        F.collect_list(F.struct("one.s", "one.n", "c", "again", *more)).alias("listed"))
+    return rows.join(listed.hint("shuffle_hash"), ["id", "crc"]).select("text", "id", "crc", "listed")
+
+
 def _rows(df: DataFrame, text: str, id_col: str) -> DataFrame:
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(data).alias("crc"), data.alias("text"))
