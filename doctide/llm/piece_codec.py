@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NEVER = np.int64(1 << 40)
 #: Units that a task remembers, about; then it starts anew.
-CACHE = 200_000
+CACHE = 300_000
 #: Characters whose units are merged together at once.
 ROUND_CHARS = 1 << 20
 
@@ -75,6 +75,31 @@ MODEL_TYPE, UNK_ID, BOS_ID, EOS_ID, UNK_SURFACE, MODEL_BPE = 3, 40, 41, 42, 44,
 CHARSMAP, DUMMY_PREFIX, EXTRA_WHITESPACE = 2, 3, 4
 
 
+#: Slots of the pair table: a power of two, some times the number of pairs.
+SLOTS = 1 << 20
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(44)).astype(np.int64)
+
+
+class Table:
+    """Byte strings by number, joined many at a time."""
+
+    def __init__(self, items: list[bytes]):
+        self.flat = np.frombuffer(b"".join(items), np.uint8)
+        self.size = np.array([len(x) for x in items], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def join(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all items one after the other, where each ends)."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begin[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[at], ends
+
+
 class Codec:
     """Encoder and decoder of one model file."""
 
@@ -131,6 +156,13 @@ class Codec:
         order = np.argsort(keys)
         self.keys = np.append(keys[order], np.int64(1 << 62))
         self.merged = np.append(np.array(list(table.values()), np.int32)[order], np.int32(0))
+        # pairs by hash, the next slot where one is taken
+        self.none = len(table)
+        self.slots = np.full(SLOTS, self.none, np.int64)
+        for k, slot in enumerate(_slot(self.keys[:-1]).tolist()):
+            while self.slots[slot] != self.none:
+                slot = (slot + 1) & (SLOTS - 1)
+            self.slots[slot] = k
         self.pair_rank = np.append(self.rank[self.merged[:-1]], NEVER)
         joined = {c for p in ids if len(p) > 1 for c in p}
         # a unit: a run of spaces with what follows it; characters that no longer piece has stand alone
@@ -145,7 +177,8 @@ class Codec:
             for p, _, kind in pieces
         ]
         self.surfaces = surfaces
-        self.texts = [str(i) for i in range(self.size)]
+        self.surface_table = Table(surfaces)
+        self.number_table = Table([b"%d " % i for i in range(self.size)])
         self.cache: dict[str, int] = {}
         self._reset()
 
@@ -165,8 +198,13 @@ class Codec:
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Index into merged and pair_rank, the last one where the pair makes no piece."""
         keys = (left.astype(np.int64) << 24) | right
-        at = np.searchsorted(self.keys, keys)
-        at[self.keys[at] != keys] = len(self.keys) - 1
+        slot = _slot(keys)
+        at = self.slots[slot]
+        open_ = np.flatnonzero((self.keys[at] != keys) & (at != self.none))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+            at[open_] = self.slots[slot[open_]]
+            open_ = open_[(self.keys[at[open_]] != keys[open_]) & (at[open_] != self.none)]
         return at
 
     def merge(self, symbols: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,8 +245,8 @@ class Codec:
             moved[hit] = True
             symbols, unit, order, pair, moved = symbols[stay], unit[stay], order[stay], pair[stay], moved[stay]
             # only pairs with a new symbol have a new rank
+            moved[:-1] |= moved[1:]
             fresh = np.flatnonzero(moved)
-            fresh = np.unique(np.concatenate([fresh, fresh[fresh > 0] - 1]))
             pair[fresh] = self._pairs(symbols, unit, fresh)
         if not done_symbols:
             return symbols, order
@@ -276,8 +314,7 @@ class Codec:
                 self.starts, self.lengths = np.concatenate([self.starts, grow]), np.concatenate([self.lengths, grow])
             self.starts[self.n_units:m] = self.n_flat + np.cumsum(lengths) - lengths
             self.lengths[self.n_units:m] = lengths
-            for k, u in enumerate(part):
-                self.cache[u] = self.n_units + k
+            self.cache.update(zip(part, range(self.n_units, m)))
             self.n_flat, self.n_units = need, m
             at = n
 
@@ -323,6 +360,48 @@ class Codec:
                 return text[1:]
         return text
 
+    def decode_all(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """UTF-8 of the text of each of several sequences of ids that lie one after the other."""
+        joined, ends = self.surface_table.join(flat)
+        last = np.cumsum(sizes)
+        edges = np.append(0, ends)[np.append(0, last)].tolist()
+        data = joined.tobytes()
+        raw = np.append(0, np.cumsum(self.kind[flat] == BYTE))
+        odd = (raw[last] - raw[last - sizes]) > 0
+        out = []
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            own = data[a:b]
+            ids = flat[last[k] - sizes[k]:last[k]]
+            # a piece without a surface parts the bytes before it from those after it
+            if odd[k] and (not _whole(own) or (self.kind[ids[:-1]] == CONTROL).any()):
+                own = self.decode(ids).encode()
+            elif self.prefix and own.startswith(b" ") and self._first_is_piece(ids):
+                own = own[1:]
+            out.append(own)
+        return out
+
+    def _first_is_piece(self, ids: np.ndarray) -> bool:
+        for i in ids:
+            if self.surfaces[i]:
+                return self.kind[i] == NORMAL
+        return False
+
+    def numbers(self, flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The ids of each sequence in decimal, with a space between."""
+        joined, ends = self.number_table.join(flat)
+        edges = np.append(0, ends)[np.append(0, np.cumsum(sizes))].tolist()
+        data = joined.tobytes()
+        return [data[a:max(a, b - 1)] for a, b in zip(edges, edges[1:])]
+
+
+def _whole(data: bytes) -> bool:
+    """Whether the bytes are UTF-8."""
+    try:
+        data.decode("utf-8")
+        return True
+    except UnicodeDecodeError:
+        return False
+
 
 def _lenient(data: bytes) -> str:
     """UTF-8 with U+FFFD for each byte that belongs to no character."""
@@ -412,12 +491,8 @@ def digests(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
             texts = batch.column("_text").to_pylist()
             for a, b in slices(texts):
                 flat, sizes = c.encode(texts[a:b])
-                ids, decoded, at = [], [], 0
-                for n in sizes.tolist():
-                    own = flat[at:at + n]
-                    at += n
-                    ids.append(sha(" ".join([c.texts[i] for i in own.tolist()]).encode()))
-                    decoded.append(sha(c.decode(own).encode()))
+                ids = [sha(x) for x in c.numbers(flat, sizes)]
+                decoded = [sha(x) for x in c.decode_all(flat, sizes)]
                 yield pa.RecordBatch.from_pydict({n: batch.column(n).slice(a, b - a) for n in keep} | {
                     "n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(decoded)})
 
