@@ -33,6 +33,7 @@ def keep_state(typed: DataFrame, table: str, checkpoint: str, update: Callable[[
     return typed.writeStream.queryName(table).option("checkpointLocation", checkpoint).foreachBatch(update).trigger(availableNow=True).start()
 
 
+NAMES = ["job_id", "pages_completed", "current_page", "last_heartbeat_us", "errors", "is_active", "is_stalled"]
 FOLD = "job_id string, pages_completed long, current_page int, last_heartbeat_us long, errors long, is_active boolean, is_stalled boolean"
 STATE = "pages long, page int, heartbeat long, errors long, active boolean"
 
@@ -41,7 +42,7 @@ def _fold(stale_ms: int):
     def run(key, frames, state: GroupState):
         pages, page, beat, errors, active = state.get if state.exists else (0, 0, 0, 0, True)
         if state.hasTimedOut:
-            yield pd.DataFrame([(key[0], pages, page, beat, errors, active, active and beat > 0)])
+            yield pd.DataFrame([(key[0], pages, page, beat, errors, active, active and beat > 0)], columns=NAMES)
             return
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         for r in rows.itertuples():
@@ -56,7 +57,7 @@ def _fold(stale_ms: int):
         state.update((pages, page, beat, errors, active))
         if active and beat:
             state.setTimeoutDuration(stale_ms)
-        yield pd.DataFrame([(key[0], pages, page, beat, errors, active, False)])
+        yield pd.DataFrame([(key[0], pages, page, beat, errors, active, False)], columns=NAMES)
 
     return run
 

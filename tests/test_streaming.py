@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -22,8 +23,11 @@ def test_states_follow_the_log(spark, tmp_path):
     typed = monitor.events(monitor.read_stream(spark, str(tmp_path / "in"))).withColumn("seq", F.unix_micros("ts"))
     seen = []
     q = (monitor.job_states(typed).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "check"))
-         .foreachBatch(lambda df, k: seen.extend(df.collect())).trigger(availableNow=True).start())
-    q.awaitTermination(120)
+         .foreachBatch(lambda df, k: seen.extend(df.collect())).trigger(processingTime="1 second").start())
+    end = time.time() + 90
+    while len({r.job_id for r in seen}) < 2 and time.time() < end and q.isActive:
+        time.sleep(0.5)
+    q.stop()
     last = {r.job_id: r for r in seen}
     assert (last["a"].pages_completed, last["a"].current_page, last["a"].is_active) == (2, 6, True)
     assert (last["b"].pages_completed, last["b"].is_active) == (1, False)
