@@ -1,163 +1,161 @@
-"""Rule expressions are written once, against these two backends: Spark columns, and SQL text for DuckDB."""
+"""Rule expressions are written once, against these two backends: SQL text for DuckDB, and for Spark.
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
+Spark gets text as well: it parses a rule in a millisecond, where building its hundreds
+of nodes one call at a time would take longer than running it on a small table.
+"""
 
-from doctide.functions import patterns
+from __future__ import annotations
 
 
 def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-class SparkBackend:
-    """Expressions over a match e in the document body."""
+class Sql(str):
+    """SQL text, as against a literal."""
 
-    def __init__(self, body, e):
-        self.body, self.e = body, e
 
-    def g(self, k):
-        return self.e["g"][k - 1]
+class SqlBackend:
+    """The same as DuckDB text; patterns are RE2."""
 
     @property
     def txt(self):
-        return self.e["txt"]
+        return Sql("txt")
+
+    def g(self, k):
+        return Sql(f"g{k}")
 
     @property
     def math(self):
-        return patterns.in_math(self.body, self.e["start"])
+        return "((length(ctx)-length(replace(ctx,'$','')))-(length(ctx)-length(replace(ctx,'\\$','')))/2)%2=1"
 
     def lit(self, x):
-        return F.lit(x)
+        return Sql(quote(x) if isinstance(x, str) else str(x))
 
     def cat(self, *parts):
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        return Sql("(" + "||".join(p if isinstance(p, Sql) else quote(p) for p in parts) + ")")
 
     def when(self, condition, yes, no):
-        yes, no = (F.lit(x) if isinstance(x, str) else x for x in (yes, no))
-        return F.when(condition, yes).otherwise(no)
+        yes, no = (x if isinstance(x, Sql) else quote(x) for x in (yes, no))
+        return Sql(f"CASE WHEN {condition} THEN {yes} ELSE {no} END")
 
     def eq(self, x, value):
-        return x == value
+        return f"({x} = {quote(value)})"
 
     def has(self, x, java, sql=None):
-        return x.rlike(java)
+        return f"regexp_matches({x}, {quote(sql or java)})"
 
     def sub(self, x, java, new, sql=None, sql_new=None):
-        return F.regexp_replace(x, java, new)
+        return Sql(f"regexp_replace({x}, {quote(sql or java)}, {quote(sql_new if sql_new is not None else new)}, 'g')")
 
     def replace(self, x, old, new):
-        return F.replace(x, F.lit(old), F.lit(new))
+        return Sql(f"replace({x}, {quote(old)}, {quote(new)})")
 
     def lower(self, x):
-        return F.lower(x)
+        return Sql(f"lower({x})")
 
     def strip(self, x):
-        return patterns.strip(x)
+        return Sql(f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')")
 
     def part(self, x, java, k, sql=None):
-        return F.regexp_extract(x, java, k)
+        return Sql(f"regexp_extract({x}, {quote(sql or java)}, {k})")
 
     def head(self, x, n_off):
-        """x without its last n_off characters, a column or number."""
-        return F.substring(x, F.lit(1), F.length(x) - n_off)
+        return Sql(f"substr({x}, 1, length({x}) - {n_off})")
 
     def length(self, x):
-        return F.length(x)
+        return Sql(f"length({x})")
 
     def both(self, *c):
-        out = c[0]
-        for x in c[1:]:
-            out = out & x
-        return out
+        return "(" + " AND ".join(c) + ")"
 
     def no(self, c):
-        return ~c
+        return f"(NOT {c})"
 
     def before(self, n):
-        start = self.e["start"]
-        return F.substring(self.body, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n)))
+        return Sql(f"substr(body, CAST(greatest(start - {n}, 0) + 1 AS BIGINT), CAST(least(start, {n}) AS BIGINT))")
 
     def count(self, x, java, sql=None):
-        return F.regexp_count(x, F.lit(java))
+        return Sql(f"len(regexp_extract_all({x}, {quote(sql or java)}))")
 
     def at_least(self, x, y):
-        return x >= y
+        return f"({x} >= {y})"
 
     def between(self, x, low, high):
-        return x.cast("int").between(low, high)
+        return f"(CAST({x} AS INTEGER) BETWEEN {low} AND {high})"
 
 
-class SqlBackend:
-    """The same as DuckDB text; patterns are RE2."""
+def spark_quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+MATCHES = "array<struct<start:int,line:int,txt:string,g:array<string>>>"
+
+
+def _newlines(x: str) -> str:
+    return f"(length({x}) - length(replace({x}, '\\n', '')))"
+
+
+class SparkBackend(SqlBackend):
+    """Spark SQL over a match e in the document body; patterns are Java's."""
+
+    def __init__(self, body: str):
+        self.body = body
 
     @property
     def txt(self):
-        return Sql("txt")
+        return Sql("e.txt")
 
     def g(self, k):
-        return Sql(f"g{k}")
+        return Sql(f"e.g[{k - 1}]")
 
     @property
     def math(self):
-        return "((length(ctx)-length(replace(ctx,'$','')))-(length(ctx)-length(replace(ctx,'\\$','')))/2)%2=1"
+        c = self.before(200)
+        return f"((length({c}) - length(replace({c}, '$', ''))) - (length({c}) - length(replace({c}, '\\\\$', ''))) / 2) % 2 = 1"
 
     def lit(self, x):
-        return Sql(quote(x) if isinstance(x, str) else str(x))
+        return Sql(spark_quote(x) if isinstance(x, str) else str(x))
 
     def cat(self, *parts):
-        return Sql("(" + "||".join(p if isinstance(p, Sql) else quote(p) for p in parts) + ")")
+        return Sql("concat(" + ", ".join(p if isinstance(p, Sql) else spark_quote(p) for p in parts) + ")")
 
     def when(self, condition, yes, no):
-        yes, no = (x if isinstance(x, Sql) else quote(x) for x in (yes, no))
+        yes, no = (x if isinstance(x, Sql) else spark_quote(x) for x in (yes, no))
         return Sql(f"CASE WHEN {condition} THEN {yes} ELSE {no} END")
 
     def eq(self, x, value):
-        return f"({x} = {quote(value)})"
+        return f"({x} = {spark_quote(value)})"
 
     def has(self, x, java, sql=None):
-        return f"regexp_matches({x}, {quote(sql or java)})"
+        return f"({x} RLIKE {spark_quote(java)})"
 
     def sub(self, x, java, new, sql=None, sql_new=None):
-        return Sql(f"regexp_replace({x}, {quote(sql or java)}, {quote(sql_new if sql_new is not None else new)}, 'g')")
+        return Sql(f"regexp_replace({x}, {spark_quote(java)}, {spark_quote(new)})")
 
     def replace(self, x, old, new):
-        return Sql(f"replace({x}, {quote(old)}, {quote(new)})")
-
-    def lower(self, x):
-        return Sql(f"lower({x})")
+        return Sql(f"replace({x}, {spark_quote(old)}, {spark_quote(new)})")
 
     def strip(self, x):
-        return Sql(f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')")
+        return self.sub(x, r"(?U)^\s+|\s+$", "")
 
     def part(self, x, java, k, sql=None):
-        return Sql(f"regexp_extract({x}, {quote(sql or java)}, {k})")
-
-    def head(self, x, n_off):
-        return Sql(f"substr({x}, 1, length({x}) - {n_off})")
-
-    def length(self, x):
-        return Sql(f"length({x})")
-
-    def both(self, *c):
-        return "(" + " AND ".join(c) + ")"
-
-    def no(self, c):
-        return f"(NOT {c})"
+        return Sql(f"regexp_extract({x}, {spark_quote(java)}, {k})")
 
     def before(self, n):
-        return Sql(f"substr(body, CAST(greatest(start - {n}, 0) + 1 AS BIGINT), CAST(least(start, {n}) AS BIGINT))")
+        return Sql(f"substring({self.body}, greatest(e.start - {n}, 0) + 1, least(e.start, {n}))")
 
     def count(self, x, java, sql=None):
-        return Sql(f"len(regexp_extract_all({x}, {quote(sql or java)}))")
-
-    def at_least(self, x, y):
-        return f"({x} >= {y})"
-
-    def between(self, x, low, high):
-        return f"(CAST({x} AS INTEGER) BETWEEN {low} AND {high})"
-
-
-class Sql(str):
-    """SQL text, as against a literal."""
+        return Sql(f"regexp_count({x}, {spark_quote(java)})")
+
+    def matches(self, pattern: str, groups: int) -> str:
+        """All matches in order, as functions.patterns.found gives them."""
+        b, p = self.body, spark_quote(pattern)
+        every = ", ".join(f"regexp_extract_all({b}, {p}, {k})" for k in range(1, groups + 1))
+        own = ", ".join(f"z.`{k + 1}`" for k in range(1, groups + 1))
+        start, line = "a.start + length(z.`1`)", f"a.line + {_newlines('z.`1`')}"
+        return (
+            f"CASE WHEN {b} RLIKE {p} THEN aggregate(arrays_zip(regexp_extract_all({b}, {p}, 0), split({b}, {p}, -1){', ' + every if every else ''}), "
+            f"named_struct('start', 0, 'line', 1, 'out', CAST(array() AS {MATCHES})), (a, z) -> IF(z.`0` IS NULL, a, named_struct("
+            f"'start', {start} + length(z.`0`), 'line', {line} + {_newlines('z.`0`')}, 'out', concat(a.out, array(named_struct("
+            f"'start', {start}, 'line', {line}, 'txt', z.`0`, 'g', CAST(array({own}) AS array<string>)))))), a -> a.out) ELSE CAST(array() AS {MATCHES}) END")

@@ -37,9 +37,9 @@ def available_rules() -> dict[str, str]:
 
 def with_issues(df: DataFrame, rules: list[str] | None = None, text: str = "text") -> DataFrame:
     """df with _head (frontmatter), _body and _issues, in order of line, rule and yield."""
-    out = df.withColumn("_head", frontmatter(F.coalesce(F.col(text), F.lit(""))))
-    out = out.withColumn("_body", F.substring(F.coalesce(F.col(text), F.lit("")), F.length("_head") + 1, F.lit((1 << 31) - 1)))
-    out = out.withColumn("_skip", newlines(F.col("_head")))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    out = df.withColumn("_head", frontmatter(whole))
+    out = out.withColumns({"_body": F.substring(whole, F.length("_head") + 1, F.lit((1 << 31) - 1)), "_skip": newlines(F.col("_head"))})
     names = selected(rules)
     parts = [_placed(k, BY_NAME[name]) for k, name in enumerate(names)]
     every = F.concat(*parts) if parts else F.array().cast(f"array<{FOUND}>")
@@ -48,7 +48,7 @@ def with_issues(df: DataFrame, rules: list[str] | None = None, text: str = "text
 
 def _placed(k: int, rule) -> Column:
     """The rule's issues with its place among the rules, and lines counted from the top of the file."""
-    return F.transform(evaluate(rule, F.col("_body")), lambda x, i: F.struct(
+    return F.transform(evaluate(rule), lambda x, i: F.struct(
         (x["line"] + F.col("_skip")).cast("int").alias("line"), F.lit(k).alias("rule_ord"), i.alias("ord"),
         F.lit(rule.name).alias("rule"), F.lit(rule.severity).alias("severity"), x["start"].alias("start"),
         x["old"].alias("old"), x["new"].alias("new"), x["detail"].alias("detail")).cast(FOUND))

@@ -62,17 +62,24 @@ def none() -> Column:
     return F.array().cast(ISSUES)
 
 
-def detect(body: Column, d: Detector) -> Column:
-    from doctide.operators.backends import SparkBackend
+#: Column that detectors read.
+BODY = "_body"
 
-    matches = found(body, d.pattern, d.groups)
+
+def detect(d: Detector) -> Column:
+    """Issues of one detector over BODY."""
+    from doctide.operators.backends import SparkBackend, spark_quote
+
+    b = SparkBackend(BODY)
+    matches = b.matches(d.pattern, d.groups)
     if d.keep is not None:
-        matches = F.filter(matches, lambda e: d.keep(SparkBackend(body, e)))
-    out = F.transform(matches, lambda e: issue(
-        e["line"], e["start"],
-        d.old(SparkBackend(body, e)) if d.old else e["txt"],
-        d.new(SparkBackend(body, e)) if d.new else None))
-    return F.when(F.contains(body, F.lit(d.needs)), out).otherwise(none()) if d.needs else out
+        matches = f"filter({matches}, e -> {d.keep(b)})"
+    old, new = d.old(b) if d.old else b.txt, d.new(b) if d.new else "CAST(NULL AS STRING)"
+    out = (f"transform({matches}, e -> named_struct('line', e.line, 'start', e.start, 'old', {old}, 'new', {new}, "
+           "'detail', CAST(NULL AS STRING)))")
+    if d.needs:
+        out = f"CASE WHEN contains({BODY}, {spark_quote(d.needs)}) THEN {out} ELSE CAST(array() AS {ISSUES}) END"
+    return F.expr(out)
 
 
 def ordered(issues: Column) -> Column:
@@ -81,10 +88,11 @@ def ordered(issues: Column) -> Column:
     return F.transform(F.array_sort(placed), lambda p: p["x"])
 
 
-def evaluate(rule: Rule, body: Column) -> Column:
+def evaluate(rule: Rule) -> Column:
+    body = F.col(BODY)
     if rule.expression is not None:
         return rule.expression(body)
-    parts = [detect(body, d) for d in rule.detectors]
+    parts = [detect(d) for d in rule.detectors]
     out = parts[0] if len(parts) == 1 else F.concat(*parts)
     return ordered(out) if rule.by_line else out
 
@@ -223,10 +231,7 @@ def _stray():
 
 
 def _any(backend, tests):
-    out = tests[0]
-    for t in tests[1:]:
-        out = f"({out} OR {t})" if isinstance(out, str) else out | t
-    return out
+    return "(" + " OR ".join(tests) + ")"
 
 
 def _math(*parts_of):
@@ -288,8 +293,7 @@ def _infinity(b):
 
 def _len(b, x, more):
     """length(x) + more, in either backend."""
-    n = b.length(x)
-    return type(x)(f"({n} + {more})") if isinstance(n, str) else n + more
+    return f"({b.length(x)} + {more})"
 
 
 def _trailing_sup(b):
@@ -366,8 +370,8 @@ STOPS_UNWRAPPED_MATH = Detector("([A-Za-z])◦", 1, lambda b: b.lit(""), keep=_B
 
 def _unwrapped_math(body):
     """A superscript ring outside of math stops the rule before it yields anything."""
-    return F.when(F.size(detect(body, STOPS_UNWRAPPED_MATH)) > 0, none()).otherwise(
-        F.concat(*[detect(body, d) for d in UNWRAPPED_MATH]))
+    return F.when(F.size(detect(STOPS_UNWRAPPED_MATH)) > 0, none()).otherwise(
+        F.concat(*[detect(d) for d in UNWRAPPED_MATH]))
 
 
 _WORDS = r"(?iU)\b((?:\w+\s+){1,4}\w+)\s+(?:\1\s+){4,}"

@@ -8,6 +8,7 @@ on documents that hold a symbol.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from doctide.operators.symbol_table import SYMBOLS
 
@@ -42,18 +43,17 @@ def symbol_order() -> list[str]:
 
 
 class _Dollars:
-    """Whether a place is in math mode, from running counts."""
+    """Whether a place is in math mode, from the sorted places of dollar signs."""
 
     def __init__(self, text: str):
-        self.all, self.escaped = [0], [0]
-        for k, c in enumerate(text):
-            self.all.append(self.all[-1] + (c == "$"))
-            self.escaped.append(self.escaped[-1] + (c == "$" and k > 0 and text[k - 1] == "\\"))
+        self.all = [m.start() for m in re.finditer(r"\$", text)]
+        self.escaped = [k for k in self.all if k > 0 and text[k - 1] == "\\"]
 
     def odd(self, at: int) -> bool:
+        """Among the 200 characters before at; a sign that starts them counts, whatever stands before it."""
         low = max(0, at - 200)
-        escaped = self.escaped[at] - self.escaped[min(low + 1, at)]
-        return (self.all[at] - self.all[low] - escaped) % 2 == 1
+        count = lambda places, start: bisect_left(places, at) - bisect_left(places, start)
+        return (count(self.all, low) - max(count(self.escaped, low + 1), 0)) % 2 == 1
 
 
 def rewrite(symbol: str, before: str, after: str) -> tuple[int, int, str]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctide.operators.backends import quote
+from doctide.sources.documents import spread
 
 ARTIFACTS = (
     "a\n\n\n\n\nb\n\n\n\n\n\n\nc",
@@ -51,7 +52,7 @@ ARTIFACTS = (
 
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.array(*[F.lit(a) for a in ARTIFACTS])
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return docs.select("doc_id", F.concat(
         F.coalesce("text", F.lit("")), F.lit("\n"),
         F.get(pieces, (F.col("doc_id") % len(ARTIFACTS)).cast("int"))).alias("text"))

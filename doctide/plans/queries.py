@@ -11,6 +11,7 @@ from doctide.operators.rules import REGISTRY
 from doctide.plans.corpus import injected, injected_sql, telemetry, telemetry_sql
 from doctide.plans.lint_sql import statement
 from doctide.sources import event_log
+from doctide.sources.documents import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,7 +44,7 @@ T = r"regexp_replace(regexp_replace({}, '\s+$', ''), '^\s+', '')"
 @query("lint_repeated_line_plain", statement("repeated_line").replace(injected_sql(), "SELECT doc_id, coalesce(text, '') AS body FROM documents"))
 def lint_repeated_line_plain(spark, sf_dir):
     """The rule on documents as they are."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return lint.issues(docs, ["repeated_line"]).select("doc_id", "line", "start", "old_text", "new_text", "detail")
 
 

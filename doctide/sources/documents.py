@@ -11,6 +11,16 @@ STATE = ("pdf_source string, total_pages int, completed_pages array<int>, failed
          "started_at string, last_updated string, version int")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its files give less than half of that.
+
+    A large table has more file splits than cores and passes as it is; a table in one
+    row group, which Spark cannot split, would keep all but one core idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, text of whole files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
