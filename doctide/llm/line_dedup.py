@@ -211,10 +211,10 @@ def repeated_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id",
     shared = spark.sparkContext.broadcast(twice_filter(rows, n_bits, min_chars))
     work = Work(spark, "line-dedup")
     suspects = work.put(rows.mapInArrow(_suspects(shared, n_bits, min_chars), "key binary, id long"), "suspects")
-    confirmed = (
+    # as a table, so that both sides of the join are plain exchanges and Spark can split a frequent key
+    confirmed = work.put(
         suspects.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
-        .filter(F.col("n") >= min_docs).select("key", "keeper")
-    )
+        .filter(F.col("n") >= min_docs).select("key", "keeper"), "confirmed")
     return suspects.join(confirmed, "key").filter(F.col("id") != F.col("keeper")).select("id", "key")
 
 
