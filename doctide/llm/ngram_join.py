@@ -235,7 +235,8 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
 
     # equal sets are one class, which stands under its smallest id
     key = ["h1", "h2", "n"]
-    same = info.filter("id IS NOT NULL AND n > 0").groupBy(*key).agg(F.min("id").alias("rep"))
+    # as a table, so that both sides of the join are plain exchanges and Spark can split a frequent set
+    same = work.put(info.filter("id IS NOT NULL AND n > 0").groupBy(*key).agg(F.min("id").alias("rep")), "same")
     member = work.put(info.join(same, key, "left").select("id", F.col("n").alias("n_shingles"), "rep"), "member")
 
     # the index: only n-grams that two classes share
