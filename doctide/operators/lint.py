@@ -100,3 +100,14 @@ def apply_fixes(df: DataFrame, rules: list[str] | None = None, text: str = "text
         F.array_join(F.array_sort(F.array_distinct(F.transform(fixes, lambda x: x["rule"]))), ",").alias("fixed_rules"),
         F.concat("_head", "_body").alias("_old"),
     ).withColumn("changed", F.col("fixed_text") != F.col("_old")).drop("_old")
+
+
+def lint_files(spark, path: str, out: str | None = None, rules: list[str] | None = None) -> DataFrame:
+    """Report on each file below path.  With out, repaired texts of changed files are written there as a table (path, text)."""
+    from doctide.sources.documents import read_documents
+
+    docs = read_documents(spark, path)
+    if out:
+        fixed = apply_fixes(docs, rules, id_col="path").filter("changed")
+        fixed.select("path", F.col("fixed_text").alias("text")).write.mode("overwrite").parquet(out)
+    return report(docs, rules, id_col="path")

@@ -521,3 +521,22 @@ RULES = [
 BY_NAME = {r.name: r for r in RULES}
 #: Informational: rules whose fixes are safe by default.
 REGISTRY = [r.name for r in RULES if r.registered]
+
+
+def register(rule: Rule) -> None:
+    """Add a rule, or put it in the place of the one of its name; it then runs with the others."""
+    if rule.name in BY_NAME:
+        RULES[[r.name for r in RULES].index(rule.name)] = rule
+    else:
+        RULES.append(rule)
+    BY_NAME[rule.name] = rule
+    if rule.registered and rule.name not in REGISTRY:
+        REGISTRY.append(rule.name)
+
+
+def python_rule(name: str, severity: str, find: Callable[[str], list[tuple]], summary: str = "No description") -> Rule:
+    """A rule from a function: text -> [(line, start, old, new, detail)].  It runs as an Arrow UDF."""
+    def expression(body):
+        return F.coalesce(F.udf(lambda t: list(find(t)) if t else [], ISSUES, useArrow=True)(body), none())
+
+    return Rule(name, severity, summary, expression=expression)

@@ -89,3 +89,49 @@ def completion(job_id: Column, total: Column, done: Column, failed: Column, seco
             done.alias("pages_completed"), failed.alias("pages_failed"), F.round(seconds, 2).alias("total_duration_seconds"),
             F.round(F.when(seconds > 0, done / seconds * 3600).otherwise(0.0), 1).alias("avg_velocity_pages_per_hour"),
             errors.alias("error_count"), warnings.alias("warning_count")]
+
+
+class JobLog:
+    """Events of one job as its driver emits them.  As a context it ends with job_completed, after an error if one was raised."""
+
+    def __init__(self, job_id: str, total_pages: int, now, **started):
+        self.job_id, self.total, self.now, self.rows = job_id, total_pages, now, []
+        self.done = self.failed = self.errors = self.warnings = self.beat_page = 0
+        self.begin = now()
+        self._emit("job_started", total_pages=total_pages, **{"pdf_path": "", "output_dir": "", "quality": "balanced", "mode": "streaming", "metadata": {}} | started)
+
+    def _emit(self, kind: str, **fields) -> None:
+        self.rows.append({"timestamp": self.now().strftime("%Y-%m-%dT%H:%M:%S.%fZ"), "event_type": kind, "job_id": self.job_id} | fields)
+
+    def page(self, number: int, duration_ms: int, **more) -> None:
+        self.done += 1
+        self._emit("page_completed", page_number=number, duration_ms=duration_ms, **more)
+
+    def heartbeat(self, current_page: int, cpu_percent: float = 0.0, memory_mb: int = 0) -> None:
+        since, self.beat_page = current_page - self.beat_page, current_page
+        self._emit("heartbeat", current_page=current_page, total_pages=self.total, pages_completed_since_last_heartbeat=since,
+                   cpu_percent=cpu_percent, memory_mb=memory_mb)
+
+    def error(self, kind: str, message: str, severity: str = "error", page_number: int | None = None) -> None:
+        self.errors += severity == "error"
+        self.warnings += severity != "error"
+        self._emit("error", severity=severity, error_type=kind, error_message=message, page_number=page_number)
+
+    def __enter__(self) -> JobLog:
+        return self
+
+    def __exit__(self, kind, error, trace) -> bool:
+        if error is not None and not isinstance(error, (SystemExit, KeyboardInterrupt)):
+            self.error("transcription_failure", str(error))
+        seconds = (self.now() - self.begin).total_seconds()
+        self._emit("job_completed", total_pages=self.total, pages_completed=self.done, pages_failed=self.failed,
+                   total_duration_seconds=round(seconds, 2),
+                   avg_velocity_pages_per_hour=round(self.done / seconds * 3600, 1) if seconds > 0 else 0.0,
+                   error_count=self.errors, warning_count=self.warnings)
+        return False
+
+    def lines(self, spark: SparkSession) -> DataFrame:
+        """seq, value: the log as a table of lines."""
+        import json
+
+        return spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(self.rows)], "seq long, value string")

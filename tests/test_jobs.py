@@ -159,3 +159,37 @@ def test_files(spark, tmp_path):
     (tmp_path / "r.yaml").write_text("papers:\n  a-b:\n    title: T\n    aliases:\n    - X\n")
     registry = documents.read_registry(spark, str(tmp_path / "r.yaml"))
     assert registry.first().aliases == ["X"] and "a-b:" in documents.write_registry(registry)
+
+
+class Clock:
+    def __init__(self):
+        from datetime import datetime
+
+        self.at = datetime(2026, 2, 14)
+
+    def __call__(self):
+        from datetime import timedelta
+
+        self.at += timedelta(seconds=1)
+        return self.at
+
+
+def test_lifecycle(spark):
+    with event_log.JobLog("j", 3, Clock()) as job:
+        for n in (1, 2, 3):
+            job.page(n, 10)
+        job.heartbeat(3)
+    assert [r["event_type"] for r in job.rows] == ["job_started", *["page_completed"] * 3, "heartbeat", "job_completed"]
+    typed = event_log.as_rows(event_log.decode(job.lines(spark)))
+    assert typed.count() == 6 and not jobs.discover(typed).first().is_active
+
+
+def test_lifecycle_with_an_error(spark):
+    with pytest.raises(RuntimeError), event_log.JobLog("j", 10, Clock()) as job:
+        job.failed = 1
+        for n in (1, 2, 3):
+            job.page(n, 10)
+        raise RuntimeError("no")
+    assert [r["event_type"] for r in job.rows][-2:] == ["error", "job_completed"]
+    assert job.rows[-2]["error_type"] == "transcription_failure" and (job.rows[-1]["pages_completed"], job.rows[-1]["pages_failed"]) == (3, 1)
+    assert event_log.decode(job.lines(spark)).count() == 6

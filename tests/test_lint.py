@@ -112,3 +112,20 @@ def test_linting_needs_no_shuffle(spark):
     plan = lint.issues(df, rules)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_own_rules_and_files(spark, tmp_path):
+    from doctide.operators import rules
+
+    rules.register(rules.python_rule("no_foo", rules.FIX, lambda t: [(1, t.index("foo"), "foo", "bar", None)] if "foo" in t else [], "No foo."))
+    try:
+        assert found(spark, "a foo", ["no_foo"]) == [(1, "foo", "bar", None)] and found(spark, "a", ["no_foo"]) == []
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "a.md").write_text("a foo  \n")
+        (tmp_path / "in" / "b.md").write_text("fine\n")
+        r = lint.lint_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["no_foo", "trailing_whitespace"])
+        assert sum(x.total_issues for x in r.collect()) == 2
+        assert [x.text for x in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a bar\n"]
+    finally:
+        rules.REGISTRY.remove("no_foo")
+        rules.RULES.remove(rules.BY_NAME.pop("no_foo"))
