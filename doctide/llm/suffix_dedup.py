@@ -325,12 +325,12 @@ def repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", n_batches
         F.count(F.lit(1)).alias("c"), F.max("again").alias("again"),
         F.min(F.struct("id", "crc", "s", "n")).alias("one")), "segments")
     # segments that occur twice repeat in whole
-    whole = candidates.join(counts.filter("c > 1").select("key", "seg"), ["key", "seg"]).select("id", "crc", "s", "n")
+    whole = candidates.join(counts.filter("c > 1").select("key", "seg"), ["key", "seg"], "left_semi").select("id", "crc", "s", "n")
     whole = work.put(whole, "whole")
     work.drop("candidates", "keys", *[f"found-level-{k}" for k in range(family.made)])
 
     # segments that occur once, beside others of their anchor or with strings that may repeat within: by blocks
-    blocks = work.put(_listed(rows, _undecided(counts, "key"), "key").mapInArrow(
+    blocks = work.put(_listed(rows, _undecided(work, counts, "key"), "key").mapInArrow(
         _blocks, "core long, whole long, id long, crc long, s int, n int, c long, again int"), "blocks")
     work.drop("segments")
     kinds = work.put(blocks.groupBy("core", "whole").agg(
@@ -340,22 +340,24 @@ def repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", n_batches
     work.drop("blocks")
 
     # blocks that occur once, beside others with their core: string by string
-    strings = work.put(_listed(rows, _undecided(kinds, "core")).mapInArrow(
+    strings = work.put(_listed(rows, _undecided(work, kinds, "core")).mapInArrow(
         _strings, "w1 long, w2 long, id long, crc long, s int, c long"), "strings")
     work.drop("kinds")
-    twice = strings.groupBy("w1", "w2").agg(F.sum("c").alias("total")).filter("total > 1").select("w1", "w2")
+    twice = work.put(strings.groupBy("w1", "w2").agg(F.sum("c").alias("total")).filter("total > 1").select("w1", "w2"), "twice")
     single = strings.filter("c = 1").join(twice, ["w1", "w2"], "left_semi").select("id", "crc", "s", F.lit(1).alias("n"))
     runs = whole.union(same).union(single).groupBy("id", "crc").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
     runs = work.put(runs, "runs")
-    work.drop("whole", "same", "strings")
+    work.drop("whole", "same", "strings", "twice", "mixed-key", "mixed-core")
     return runs
 
 
-def _undecided(kinds: DataFrame, key: str) -> DataFrame:
+def _undecided(work: Work, kinds: DataFrame, key: str) -> DataFrame:
     """Kinds (c, again, one) of the keys that have a kind that occurs once, and another or a repeat within."""
     mixed = kinds.groupBy(key).agg(
         F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"), F.max("again").alias("again")).filter(
         "(kinds > 1 OR again = 1) AND least = 1").select(key)
+    # as a table, so that both sides of the join are plain exchanges and Spark can split a frequent key
+    mixed = work.put(mixed, f"mixed-{key}")
     return kinds.join(mixed, key, "left_semi")
 
 
