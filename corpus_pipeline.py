@@ -17,18 +17,25 @@ from doctide.llm.work import Work
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.judge(docs, keep=tuple(docs.columns)).filter("kept").select(*docs.columns)
+    rows = docs.select("text", "lang", "source", F.struct("*").alias("_row"))
+    return quality_rules.judge(rows, keep=("_row",)).filter("kept").select("_row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat elsewhere; n_chars follows the text; a null text becomes empty."""
-    keep = tuple(docs.columns)
-    out = line_dedup.dedup(docs, keep=tuple(c for c in keep if c != "text"))
-    text = F.col("_kept")
-    out = out.withColumn("text", text)
-    if "n_chars" in keep:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*keep)
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
+    out = line_dedup.dedup(rows, keep=("_row",))
+
+    def column(name):
+        if name == "text":
+            return F.col("_kept").alias(name)
+        own = F.col("_row")[name]
+        if name == "n_chars":
+            own = F.when(F.col("_n_dropped") > 0, F.length("_kept").cast(docs.schema[name].dataType)).otherwise(own)
+        return own.alias(name)
+
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

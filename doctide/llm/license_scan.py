@@ -28,6 +28,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doctide.llm.work import carried
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed phrases and their labels.
 PHRASES = (
@@ -106,7 +108,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     """
     vocabulary, index = template_index(df, text, templates, containment)
     prefixes = sorted({w for _, t, p, _ in index for w in t[:p]})
-    out = df.select(*keep, words(text).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
+    out = df.select(carried(keep), words(text).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
 
     def places(phrase: str) -> Column:
         parts = phrase.split()
@@ -165,7 +167,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
         F.when(F.size(f"_at_{label}") > 0, F.lit(label)) for label in sorted(x for _, x in PHRASES)
     ]))
     return out.select(
-        *keep, "n_words",
+        "_keep.*", "n_words",
         F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),

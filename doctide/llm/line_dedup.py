@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctide.llm.work import Work
+from doctide.llm.work import Work, carried, with_carried
 
 MIN_CHARS, MIN_DOCS = 40, 5
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
@@ -151,7 +151,7 @@ def digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def _drop(least: int, names: list[str]):
+def _drop(least: int):
     def run(batches):
         for batch in batches:
             texts, counts, dropped = [], [], []
@@ -166,9 +166,8 @@ def _drop(least: int, names: list[str]):
                 else:
                     dropped.append(0)
                     texts.append(t or b"")
-            columns = {n: batch.column(n) for n in names}
-            columns |= {
-                "_kept": pa.array(texts, pa.binary()), "_n_lines": pa.array(counts, pa.int64()),
+            columns = {
+                "_keep": batch.column("_keep"), "_kept": pa.array(texts, pa.binary()), "_n_lines": pa.array(counts, pa.int64()),
                 "_n_dropped": pa.array(dropped, pa.int64()),
             }
             yield pa.RecordBatch.from_pydict(columns)
@@ -224,9 +223,8 @@ def dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple
     keep = tuple(c for c in df.columns if c != text) if keep is None else keep
     gone = repeated_lines(df, text, id_col, min_docs, min_chars)
     gone = gone.groupBy("id").agg(F.collect_set("key").alias("_gone")).withColumnRenamed("id", "_id")
-    rows = df.select(*keep, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"),
+    rows = df.select(carried(keep), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"),
                      F.col(text).cast("binary").alias("_text"))
     joined = rows.join(gone.hint("shuffle_hash"), "_id", "left").drop("_id")
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    out = joined.mapInArrow(_drop(min_chars, list(keep)), f"{kinds}, _kept binary, _n_lines long, _n_dropped long")
-    return out.withColumn("_kept", F.col("_kept").cast("string"))
+    out = joined.mapInArrow(_drop(min_chars), with_carried(rows, "_kept binary, _n_lines long, _n_dropped long"))
+    return out.select("_keep.*", F.col("_kept").cast("string").alias("_kept"), "_n_lines", "_n_dropped")

@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from doctide.llm.work import Work
 
 SPACE = r"[\x20\x09-\x0D]+"
-TARGET_ENTROPY, MAX_EPOCHS, BLOCK_TOKENS, SEED = 0.999, 2.0, 1 << 20, 11
+TARGET_ENTROPY, MAX_EPOCHS, BLOCK_TOKENS, SEED = 1.0, 2.0, 1 << 20, 11
 BUCKET_ROWS = 4096
+#: Sources up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 STEPS = 60
 
 
@@ -107,7 +109,7 @@ def _placed(copies: DataFrame, rows_of: dict[str, int]) -> DataFrame:
     spark = copies.sparkSession
     sizes = spark.createDataFrame([(s, max(1, n // BUCKET_ROWS)) for s, n in rows_of.items()] or [("", 1)],
                                   "_src string, _buckets long")
-    copies = copies.join(F.broadcast(sizes), "_src") if len(rows_of) <= 100_000 else copies.join(sizes, "_src")
+    copies = copies.join(F.broadcast(sizes), "_src") if len(rows_of) <= BROADCAST_SOURCES else copies.join(sizes, "_src")
     copies = copies.withColumn("_bucket", F.least(
         F.floor((F.shiftright("_order", 32) + F.lit(1 << 31)) * F.col("_buckets") / (1 << 32)), F.col("_buckets") - 1))
     filled = copies.groupBy("_src", "_copy", "_bucket").agg(F.sum("_tokens").alias("_sum"))
@@ -141,10 +143,10 @@ def _plan_rows(spark, chosen) -> DataFrame:
         "_src string, _weight double, _total long, _full long, _rest long")
 
 
-def _copies(rows: DataFrame, plans: DataFrame, seed: int) -> DataFrame:
+def _copies(rows: DataFrame, plans: DataFrame, seed: int, few: bool) -> DataFrame:
     """A row for each document and epoch, the last one too; _order permutes each epoch anew."""
     return (
-        rows.join(F.broadcast(plans), "_src")
+        rows.join(F.broadcast(plans) if few else plans, "_src")
         .withColumn("_copy", F.explode(F.expr("sequence(0L, CASE WHEN _rest > 0 THEN _full ELSE _full - 1 END)")))
         .withColumn("_order", F.xxhash64(F.lit(seed), "_copy", "_key"))
     )
@@ -156,7 +158,7 @@ def mix(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str =
     """A row for each time a document is taken: id, source, n_tokens, copy, block, weight (of its source)."""
     work = Work(df.sparkSession, "mixing")
     rows, chosen, rows_of = _prepare(df, text, id_col, source, seed, work, target_entropy, max_epochs)
-    copies = _copies(rows, _plan_rows(df.sparkSession, chosen), seed)
+    copies = _copies(rows, _plan_rows(df.sparkSession, chosen), seed, len(chosen) <= BROADCAST_SOURCES)
     placed = _placed(copies.select("_src", "_copy", "_order", "_tokens"), rows_of)
     return (
         copies.join(placed, ["_src", "_copy", "_order"])
@@ -181,16 +183,17 @@ def take(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     work = Work(spark, "mixing")
     rows, chosen, rows_of = _prepare(df, text, id_col, source, seed, work, target_entropy, max_epochs)
     plans = _plan_rows(spark, chosen)
-    last = _copies(rows, plans, seed).filter((F.col("_copy") == F.col("_full")) & (F.col("_rest") > 0))
-    placed = _placed(last.select("_src", "_copy", "_order", "_tokens"), rows_of).join(F.broadcast(plans), "_src")
+    few = len(chosen) <= BROADCAST_SOURCES
+    last = _copies(rows, plans, seed, few).filter((F.col("_copy") == F.col("_full")) & (F.col("_rest") > 0))
+    placed = _placed(last.select("_src", "_copy", "_order", "_tokens"), rows_of).join(F.broadcast(plans) if few else plans, "_src")
     ends = (placed.filter(F.col("_before") + F.col("_tied") <= F.col("_rest"))
             .groupBy("_src").agg(F.max("_order").alias("_end")))
     plans = work.put(plans.join(ends, "_src", "left"), "plan")
-    own = df.columns
-    out = df.withColumns({"_src": _source_key(source), "_key": _row_key(id_col, text, seed)}).join(F.broadcast(plans), "_src")
+    out = df.select(F.struct("*").alias("_row"), _source_key(source).alias("_src"), _row_key(id_col, text, seed).alias("_key"))
+    out = out.join(F.broadcast(plans) if few else plans, "_src")
     extra = F.when(F.xxhash64(F.lit(seed), F.col("_full"), F.col("_key")) <= F.col("_end"), 1).otherwise(0)
     return (
         out.withColumn("_times", (F.col("_full") + extra).cast("int"))
         .withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
-        .select(*[F.col(f"`{c}`") for c in own])
+        .select("_row.*")
     )

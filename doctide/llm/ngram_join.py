@@ -298,4 +298,5 @@ def _skip_blocks(entries: DataFrame, other: str, percent: int) -> DataFrame:
 def one_of_each(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
     """df's rows whose document has the smallest id of its component; rows without an id stay."""
     found = classes(df, text, id_col, n, percent).filter(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(found.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    return rows.join(found.hint("shuffle_hash"), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

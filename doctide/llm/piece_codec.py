@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doctide.llm.work import carried, with_carried
+
 SPACE = "▁"
 NEVER = np.int64(1 << 40)
 #: Units that a task remembers, about; then it starts anew.
@@ -451,7 +453,6 @@ def slices(texts: list[str | None], most: int = BATCH_CHARS):
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns and ids (array of int), the end id last."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         c = codec(path)
@@ -460,29 +461,29 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
             for a, b in slices(texts):
                 flat, sizes = c.encode(texts[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_pydict({n: batch.column(n).slice(a, b - a) for n in keep} | {"ids": lists})
+                yield pa.RecordBatch.from_pydict({"_keep": batch.column("_keep").slice(a, b - a), "ids": lists})
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kinds}, ids array<int>")
+    rows = df.select(carried(keep), F.col(text).alias("_text"))
+    return rows.mapInArrow(run, with_carried(rows, "ids array<int>")).select("_keep.*", "ids")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns and decoded (string) from a column of ids; null ids: the empty text."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         c = codec(path)
         for batch in batches:
             out = [c.decode(x or []) for x in batch.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in keep} | {"decoded": pa.array(out, pa.string())})
+            yield pa.RecordBatch.from_pydict({"_keep": batch.column("_keep"), "decoded": pa.array(out, pa.string())})
 
-    return df.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, f"{kinds}, decoded string")
+    rows = df.select(carried(keep), F.col(ids).alias("_ids"))
+    return rows.mapInArrow(run, with_carried(rows, "decoded string")).select("_keep.*", "decoded")
 
 
 def digests(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Encode and decode in one pass: keep's columns, n_tokens, ids_sha256, decoded_sha256."""
     import hashlib
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         c = codec(path)
@@ -493,8 +494,9 @@ def digests(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                 flat, sizes = c.encode(texts[a:b])
                 ids = [sha(x) for x in c.numbers(flat, sizes)]
                 decoded = [sha(x) for x in c.decode_all(flat, sizes)]
-                yield pa.RecordBatch.from_pydict({n: batch.column(n).slice(a, b - a) for n in keep} | {
-                    "n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(decoded)})
+                yield pa.RecordBatch.from_pydict({
+                    "_keep": batch.column("_keep").slice(a, b - a), "n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(decoded)})
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(
-        run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = df.select(carried(keep), F.col(text).alias("_text"))
+    return rows.mapInArrow(run, with_carried(rows, "n_tokens long, ids_sha256 string, decoded_sha256 string")).select(
+        "_keep.*", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doctide.llm.work import carried, with_carried
+
 BITS, SAMPLE, KEPT_BACK = 20, 6000, 6
 SMOOTHING, COST, EPOCHS, SEED = 1.0, 1.0, 20, 5
 THRESHOLD = 0.3
@@ -207,7 +209,6 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), bits: int = BITS) -> DataFrame:
     """keep's columns and score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         make = Features(bits)
@@ -221,7 +222,8 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
                     n += 1
                 out.append(shared.value.scores(*make.of(texts[at:n])))
                 at = n
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {
-                "score": pa.array(np.concatenate(out) if out else [], pa.float64())})
+            yield pa.RecordBatch.from_pydict({
+                "_keep": batch.column("_keep"), "score": pa.array(np.concatenate(out) if out else [], pa.float64())})
 
-    return df.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(run, f"{kinds}, score double")
+    rows = df.select(carried(keep), F.col(text).cast("binary").alias("_text"))
+    return rows.mapInArrow(run, with_carried(rows, "score double")).select("_keep.*", "score")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doctide.llm.work import Work
+from doctide.llm.work import Work, carried
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -149,11 +149,10 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     """
     spark = df.sparkSession
     work = Work(spark, "quality-rules")
-    # lang and source travel under names of their own, so keep may hold any column
-    source_rows = df.select(*keep, F.col(lang).cast("string").alias("_lang"),
+    source_rows = df.select(carried(keep), F.col(lang).cast("string").alias("_lang"),
                             F.col(source).cast("string").alias("_source"), F.col(text).alias("_text"))
     signals = work.put(
-        with_shares(base_signals(source_rows, "_text", (*keep, "_lang", "_source"))), "signals")
+        with_shares(base_signals(source_rows, "_text", ("_keep", "_lang", "_source"))), "signals")
     made = work.put(fences(signals, "_lang", "_source"), "fences")
     sized = made.filter((F.col("_n") >= min_group) | (F.col("_level") == 2))
     few = made.count() <= BROADCAST_GROUPS
@@ -177,5 +176,5 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
             beyond = beyond | F.coalesce(F.col(name) < edge[f"_low_{name}"], F.lit(False))
         if high is not None:
             beyond = beyond | F.coalesce(F.col(name) > edge[f"_high_{name}"], F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~beyond).drop(
-        "_lang", "_source", "_e0", "_e1", "_e2")
+    out = out.withColumn("kept", ~F.col("base_failed") & ~beyond).drop("_lang", "_source", "_e0", "_e1", "_e2")
+    return out.select("_keep.*", *[c for c in out.columns if c != "_keep"])

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from doctide.llm import license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, sharding, suffix_dedup, topk
 from doctide.llm.oracles import ORACLES  # noqa: F401
+from doctide.sources.documents import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer(name: str) -> str:

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doctide.llm.work import Work
+from doctide.llm.work import Work, carried
 
 #: Rows a bucket of the last permutation holds, about.
 BUCKET_ROWS = 4096
@@ -85,12 +85,11 @@ def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
 
 
 def shard(df: DataFrame, n_shards: int = 8, seed: int = 20) -> DataFrame:
-    """All columns of df, with _shard (int) and _slot (long, gapless from 0 in each shard)."""
+    """All columns of df, with _shard (int) and _slot (long, gapless from 0 in each shard), which replace any of df's own."""
     spark = df.sparkSession
     work = Work(spark, "sharding")
-    names = df.columns
-    table = work.put(
-        df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = [c for c in df.columns if c.lower() not in ("_shard", "_slot")]
+    table = work.put(df.select(carried(own), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")), "rows")
     sizes = table.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
     total = sum(r["n"] for r in sizes)
     shards = np.array([total // n_shards + (s < total % n_shards) for s in range(n_shards)])
@@ -109,12 +108,12 @@ def shard(df: DataFrame, n_shards: int = 8, seed: int = 20) -> DataFrame:
     # the key is a signed 64-bit number; its upper bits choose the bucket, in the key's order
     dealt = dealt.withColumn(
         "_bucket", F.least(F.floor((F.shiftright("_key", 32) + F.lit(1 << 31)) * n_buckets / (1 << 32)), F.lit(n_buckets - 1)))
-    dealt = work.put(dealt.select(*names, "_shard", "_bucket", "_key", "_row"), "dealt")
+    dealt = work.put(dealt.select("_keep", "_shard", "_bucket", "_key", "_row"), "dealt")
     filled = dealt.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = filled.select("_shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_shard", "_bucket").orderBy("_key", "_row")
     return (
         dealt.withColumn("_k", F.row_number().over(inside) - 1).join(starts, ["_shard", "_bucket"])
-        .select(*names, "_shard", (F.col("_start") + F.col("_k")).cast("long").alias("_slot"))
+        .select("_keep.*", "_shard", (F.col("_start") + F.col("_k")).cast("long").alias("_slot"))
     )

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctide.llm.work import Work
+from doctide.llm.work import Work, carried, with_carried
 
 LENGTH, GRAM, BATCHES = 200, 40, 4
 #: Strings of a segment that are compared as one.
@@ -259,25 +259,23 @@ def covered(runs, size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut(names: list[str]):
-    def run(batches):
-        for batch in batches:
-            kept, removed, spans = [], [], []
-            for text, runs in zip(batch.column("_text").to_pylist(), batch.column("_runs").to_pylist()):
-                text = text or b""
-                gone = covered([(x["s"], x["n"]) for x in runs], len(text)) if runs else []
-                parts, at = [], 0
-                for a, b in gone:
-                    parts.append(text[at:a])
-                    at = b
-                parts.append(text[at:])
-                kept.append(b"".join(parts))
-                removed.append(len(text) - len(kept[-1]))
-                spans.append(len(gone))
-            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | {
-                "_kept": pa.array(kept, pa.binary()), "_n_removed": pa.array(removed, pa.int64()),
-                "_n_spans": pa.array(spans, pa.int64())})
-    return run
+def _cut(batches):
+    for batch in batches:
+        kept, removed, spans = [], [], []
+        for text, runs in zip(batch.column("_text").to_pylist(), batch.column("_runs").to_pylist()):
+            text = text or b""
+            gone = covered([(x["s"], x["n"]) for x in runs], len(text)) if runs else []
+            parts, at = [], 0
+            for a, b in gone:
+                parts.append(text[at:a])
+                at = b
+            parts.append(text[at:])
+            kept.append(b"".join(parts))
+            removed.append(len(text) - len(kept[-1]))
+            spans.append(len(gone))
+        yield pa.RecordBatch.from_pydict({
+            "_keep": batch.column("_keep"), "_kept": pa.array(kept, pa.binary()), "_n_removed": pa.array(removed, pa.int64()),
+            "_n_spans": pa.array(spans, pa.int64())})
 
 
 class IndexFamily:
@@ -379,7 +377,7 @@ def dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple
     found = repeats(df, text, id_col, n_batches).select(
         F.col("id").alias("_id"), F.col("crc").alias("_crc"), F.col("runs").alias("_runs"))
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = df.select(*keep, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), data.alias("_text")).withColumn("_crc", F.crc32("_text"))
+    rows = df.select(carried(keep), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), data.alias("_text")).withColumn("_crc", F.crc32("_text"))
     joined = rows.join(found.hint("shuffle_hash"), ["_id", "_crc"], "left").drop("_id", "_crc")
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.mapInArrow(_cut(list(keep)), f"{kinds}, _kept binary, _n_removed long, _n_spans long")
+    out = joined.mapInArrow(_cut, with_carried(rows, "_kept binary, _n_removed long, _n_spans long"))
+    return out.select("_keep.*", "_kept", "_n_removed", "_n_spans")

@@ -13,7 +13,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 
@@ -34,6 +36,16 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
+def carried(keep) -> Column:
+    """The columns that an operator hands on, as one struct: their names cannot clash with its own."""
+    return F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep")
+
+
+def with_carried(rows: DataFrame, more: str) -> T.StructType:
+    """Schema of _keep and further columns."""
+    return T.StructType([rows.schema["_keep"], *T.StructType.fromDDL(more)])
+
+
 class Work:
     """A folder of working tables for one run of an operator."""
 
