@@ -1,8 +1,8 @@
 """The lint rules, as array-valued expressions over a document body.
 
 A rule gives an ordered array of issues.  Rules do not depend on each other, so linting
-a corpus is one narrow projection however many rules run.  Names, severities, patterns
-and replacement texts are fixed values: issues must be the same as of any other
+a corpus is one narrow projection however many rules run.  Names, severities, summaries,
+patterns and replacement texts are fixed values: issues must be the same as of any other
 implementation of these rules.
 """
 

@@ -89,8 +89,8 @@ FROM (
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    kind = events.schema["ts"].dataType.typeName()
-    events = events.withColumn("ts", F.col("ts").cast("timestamp")) if kind != "timestamp" else events
+    if events.schema["ts"].dataType.typeName() == "timestamp_ntz":  # read as UTC, whatever the session's zone
+        events = events.withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts))"))
     return spark.sql(TELEMETRY.replace("{text}", "STRING").replace("{micros}", "unix_micros")
                      .replace("{number}", "get_json_object(props, '$.k')").replace("{table}", "{events}"), events=events)
 
