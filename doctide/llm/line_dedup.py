@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctide.llm.work import Work, carried, with_carried
+from doctide.llm.work import Work, carried, sliced, with_carried
 
 MIN_CHARS, MIN_DOCS = 40, 5
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
@@ -99,7 +99,7 @@ def merge(pairs) -> tuple[np.ndarray, np.ndarray]:
 def _build(n_bits: int, least: int):
     def run(batches):
         f = Filters(n_bits)
-        for batch in batches:
+        for batch in sliced(batches):
             hashes = [xxhash.xxh3_64_intdigest(k) for t in batch.column("text").to_pylist() for k in _doc_keys(t, least)]
             f.add(np.array(hashes, np.uint64))
         step = PIECE >> 3
@@ -132,7 +132,7 @@ def _merge_piece(rows):
 def _suspects(shared, n_bits: int, least: int):
     def run(batches):
         table = np.frombuffer(zlib.decompress(shared.value), np.uint8)
-        for batch in batches:
+        for batch in sliced(batches):
             keys, ids = [], []
             for t, i in zip(batch.column("text").to_pylist(), batch.column("id").to_pylist()):
                 found = _doc_keys(t, least)
@@ -153,7 +153,7 @@ def digest(key: bytes) -> bytes:
 
 def _drop(least: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, counts, dropped = [], [], []
             for t, gone in zip(batch.column("_text").to_pylist(), batch.column("_gone").to_pylist()):
                 lines = (t or b"").split(b"\n")

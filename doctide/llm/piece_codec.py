@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctide.llm.work import carried, with_carried
+from doctide.llm.work import carried, sliced, with_carried
 
 SPACE = "▁"
 NEVER = np.int64(1 << 40)
 #: Units that a task remembers, about; then it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 #: Characters whose units are merged together at once.
 ROUND_CHARS = 1 << 20
 
@@ -436,7 +436,7 @@ def codec(path: str) -> Codec:
 
 
 #: Characters of the texts that are encoded at once.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 
 
 def slices(texts: list[str | None], most: int = BATCH_CHARS):
@@ -456,7 +456,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("_text").to_pylist()
             for a, b in slices(texts):
                 flat, sizes = c.encode(texts[a:b])
@@ -472,7 +472,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
+        for batch in sliced(batches):
             out = [c.decode(x or []) for x in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"_keep": batch.column("_keep"), "decoded": pa.array(out, pa.string())})
 
@@ -488,7 +488,7 @@ def digests(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     def run(batches):
         c = codec(path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("_text").to_pylist()
             for a, b in slices(texts):
                 flat, sizes = c.encode(texts[a:b])

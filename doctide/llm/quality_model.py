@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctide.llm.work import carried, with_carried
+from doctide.llm.work import carried, sliced, with_carried
 
 BITS, SAMPLE, KEPT_BACK = 20, 6000, 6
 SMOOTHING, COST, EPOCHS, SEED = 1.0, 1.0, 20, 5
@@ -181,7 +181,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> Model:
 def _featurise(bits: int):
     def run(batches):
         make = Features(bits)
-        for batch in batches:
+        for batch in sliced(batches):
             flat, sizes = make.of(batch.column("text").to_pylist())
             edges = np.append(0, np.cumsum(sizes))
             raw = [flat[a:b].tobytes() for a, b in zip(edges, edges[1:])]
@@ -212,7 +212,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
 
     def run(batches):
         make = Features(bits)
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             texts, out = batch.column("_text").to_pylist(), []
             at = 0
             while at < len(texts):  # about 4 MB at once

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctide.llm.work import Work, carried, with_carried
+from doctide.llm.work import Work, carried, sliced, with_carried
 
 LENGTH, GRAM, BATCHES = 200, 40, 4
 #: Strings of a segment that are compared as one.
@@ -155,7 +155,7 @@ def _pieces(offsets: np.ndarray):
 
 def _index(n_batches: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1 << 30):
             data, offsets = _binary(batch.column("text"))
             for rows, starts, ends, shift in _pieces(offsets):
                 rows, starts, ends, shift = (np.array(x, np.int64) for x in (rows, starts, ends, shift))
@@ -203,7 +203,7 @@ def _laid_out(found: list[dict], parts: list[bytes]):
 def _blocks(batches):
     """Strings of a segment in blocks of BLOCK by their distance from the anchor: fingerprints of what all
     strings of the block share (core) and of the strings that are there (whole)."""
-    for batch in batches:
+    for batch in sliced(batches):
         for rows, found, parts in _parts(batch):
             data, part, at, base = _laid_out(found, parts)
             key = np.array([x["key"] for x in found], np.int64).view(np.uint64)
@@ -235,7 +235,7 @@ def _blocks(batches):
 
 def _strings(batches):
     """Two fingerprints of each string of the listed blocks."""
-    for batch in batches:
+    for batch in sliced(batches):
         for rows, found, parts in _parts(batch):
             data, part, at, base = _laid_out(found, parts)
             doc = pa.array(np.array(rows, np.int64)[part])
@@ -260,7 +260,7 @@ def covered(runs, size: int) -> list[tuple[int, int]]:
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         kept, removed, spans = [], [], []
         for text, runs in zip(batch.column("_text").to_pylist(), batch.column("_runs").to_pylist()):
             text = text or b""

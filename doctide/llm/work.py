@@ -8,11 +8,13 @@ and all executors.  A lost executor then costs a re-read, never a re-run.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +48,29 @@ def with_carried(rows: DataFrame, more: str) -> T.StructType:
     return T.StructType([rows.schema["_keep"], *T.StructType.fromDDL(more)])
 
 
+#: Rows whose texts a task holds as Python objects at once.
+ROWS_AT_ONCE = 512
+
+
+def sliced(batches, rows: int = ROWS_AT_ONCE):
+    """Arrow batches in slices of at most rows rows, without copies; at the end the worker gives back what it has freed."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+        del batch
+    release()
+
+
+def release() -> None:
+    """Return freed memory to the system: workers live on from task to task, beside others on their machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class Work:
     """A folder of working tables for one run of an operator."""
 
