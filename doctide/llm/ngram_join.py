@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doctide.llm.components import components
-from doctide.llm.work import Work
+from doctide.llm.work import Work, sliced
 
 N, PERCENT = 4, 85
 FREQUENT, OFTEN = 500_000, 8
@@ -143,7 +143,7 @@ def _scan(n: int):
             zero = np.zeros(len(grams), np.int64)
             return _record(1, _signed(grams), counts, zero, zero)
 
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             grams, sizes = shingler.sets(batch.column("text").to_pylist())
             yield _record(0, batch.column("id"), sizes, _signed(sums(mix(grams + _A), sizes)), _signed(sums(mix(grams ^ _B), sizes)))
             held.append(grams)
@@ -165,7 +165,7 @@ def _prefixes(n: int, percent: int, shared):
     def run(batches):
         shingler = Shingler(n)
         grams, often = (np.frombuffer(x, np.uint64) for x in shared.value)
-        for batch in (b.slice(k, 2048) for b in batches for k in range(0, len(b), 2048)):
+        for batch in sliced(batches, 2048):
             every, sizes = shingler.sets(batch.column("text").to_pylist())
             begin = np.cumsum(sizes) - sizes
             if len(grams):  # frequent ones go last: only sets that hold some need another order
@@ -189,7 +189,7 @@ def _prefixes(n: int, percent: int, shared):
 def _verify(n: int):
     def run(batches):
         shingler = Shingler(n)
-        for batch in (b.slice(k, PAIRS_AT_ONCE) for b in batches for k in range(0, len(b), PAIRS_AT_ONCE)):
+        for batch in sliced(batches, PAIRS_AT_ONCE):
             sides = [list(zip(batch.column(i).to_pylist(), batch.column(t).to_pylist())) for i, t in (("a", "ta"), ("b", "tb"))]
             texts = list(dict.fromkeys(sides[0] + sides[1]))
             flat, sizes = shingler.sets([t for _, t in texts])
@@ -242,7 +242,8 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
     # the index: only n-grams that two classes share
     index = work.put(rows.filter("id IS NOT NULL").mapInArrow(
         _prefixes(n, percent, shared), "token long, id long, h1 long, n int, pos int"), "index")
-    lists = index.groupBy("token").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("token")
+    lists = work.put(index.groupBy("token").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("token"), "shared")
+    work.free()  # the exchange of all tokens is not kept beside the next one
     reps = member.filter("rep IS NOT NULL").select("id", "rep").distinct()
     entries = (index.join(lists.hint("shuffle_hash"), "token").join(reps.filter("id = rep").select("id"), "id")
                .withColumn("most", (F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent) - F.col("n")).cast("int"))
@@ -251,7 +252,9 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
     work.drop("index")
     entries = _skip_blocks(entries, "id", percent)
     entries = work.put(entries, "lists")
+    work.free()
     texts = work.put(rows.join(entries.select("id").distinct(), "id", "left_semi"), "texts")
+    work.free()
 
     # first answers: the leader of each list against its members
     leaders = entries.groupBy("token").agg(F.min(F.struct("pos", "n", "id", "most")).alias("l")).select("token", "l.*")
@@ -259,6 +262,7 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
     stars = work.put(led.select(F.least("x.id", "l.id").alias("a"), F.greatest("x.id", "l.id").alias("b")).distinct(), "stars")
     first = work.put(_compare(stars, texts, n).groupBy("a", "b").agg(
         F.max(F.struct(F.col("inter") / F.col("uni"), "inter", "uni")).alias("s")).select("a", "b", "s.inter", "s.uni"), "first")
+    work.free()
     links = first.filter(f"100 * inter >= {percent} * uni").select("a", "b")
     comps = components(links, work, "first-round")
 
