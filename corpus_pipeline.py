@@ -7,12 +7,14 @@ each document as often as its source's weight asks, once at least; the codec enc
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctide.llm import line_dedup, mixing, ngram_join, piece_codec, quality_rules
 from doctide.llm.queries import tokenizer
-from doctide.llm.work import Work
+from doctide.llm.work import Work, recorded, sweep
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +55,27 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_codec.digests(docs, tokenizer("piece_bpe_32k.model"), keep=("doc_id", "source"))
 
 
+#: Working folders of stages whose results may not be written yet.
+_made: list[Work] = []
+
+
+def _stage(step):
+    """The step; before it, what earlier stages worked with is deleted, as docs are their written results."""
+    @functools.wraps(step)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(_made, docs)
+        with recorded(_made):
+            return step(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", rules),
-    ("line dedup", lines),
-    ("n-gram Jaccard join", copies),
-    ("mixing", mixture),
-    ("SentencePiece encoding and decoding", encoded),
+    ("quality rules", _stage(rules)),
+    ("line dedup", _stage(lines)),
+    ("n-gram Jaccard join", _stage(copies)),
+    ("mixing", _stage(mixture)),
+    ("SentencePiece encoding and decoding", _stage(encoded)),
 ]
 
 #: The join, the mixture and the codec have no SQL form; tests compare run() with a brute-force version.

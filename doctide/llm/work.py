@@ -8,6 +8,7 @@ and all executors.  A lost executor then costs a re-read, never a re-run.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import shutil
@@ -71,12 +72,38 @@ def release() -> None:
         pass
 
 
+_recorders: list[list[Work]] = []
+
+
+@contextlib.contextmanager
+def recorded(made: list[Work]):
+    """Folders that operators make meanwhile are added to made."""
+    _recorders.append(made)
+    try:
+        yield
+    finally:
+        _recorders.remove(made)
+
+
+def sweep(made: list[Work], reads: DataFrame) -> None:
+    """Delete the folders in made that the table reads does not read from: their results were written elsewhere."""
+    files = reads.inputFiles()
+    for work in list(made):
+        if work.spark is not reads.sparkSession:  # of a session that may have ended
+            made.remove(work)
+        elif not any(work.path.rsplit("/", 1)[1] in f for f in files):
+            work.drop()
+            made.remove(work)
+
+
 class Work:
     """A folder of working tables for one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        for made in _recorders:
+            made.append(self)
 
     def put(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write df as a table and return it as read from there."""
@@ -91,10 +118,10 @@ class Work:
         return reader.parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
+        """Delete tables that nothing reads any more; without names the whole folder."""
         jvm, jsc = self.spark._jvm, self.spark._jsc
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        for target in [f"{self.path}/{name}" for name in names] or [self.path]:
+            path = jvm.org.apache.hadoop.fs.Path(target)
             path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
         self.free()
 
