@@ -55,7 +55,8 @@ def _placed(k: int, rule) -> Column:
 
 
 def issues(df: DataFrame, rules: list[str] | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    return with_issues(df, rules, text).select(id_col, F.explode("_issues").alias("_x")).select(
+    # the outer form: from the inner one Spark infers a filter below, which would run every rule once more
+    return with_issues(df, rules, text).select(id_col, F.explode_outer("_issues").alias("_x")).filter(F.col("_x").isNotNull()).select(
         id_col, "_x.rule", "_x.severity", "_x.line", "_x.start", F.col("_x.old").alias("old_text"),
         F.col("_x.new").alias("new_text"), "_x.detail")
 
