@@ -41,8 +41,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id."""
-    return ngram_join.one_of_each(docs).select(*docs.columns)
+    """One document of each group of near copies (five words, a similarity of 0.8), the one with the smallest doc_id."""
+    return ngram_join.one_of_each(docs, n=5, percent=80).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

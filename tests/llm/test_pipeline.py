@@ -39,6 +39,21 @@ def test_stages(spark):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_near_copies_by_five_words(spark):
+    """Isolated one-word edits that meet five words and 0.8, but not four words and 0.85."""
+    rows, want = [], set()
+    for k, (length, edits) in enumerate(((100, 2), (150, 3), (200, 4), (100, 3))):
+        base = [f"w{k}x{j}" for j in range(length)]
+        near = [f"edit{j}" if j % 30 == 15 and j // 30 < edits else w for j, w in enumerate(base)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+        want |= {2 * k} if edits * 50 == length else {2 * k, 2 * k + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {c for _, c in brute.ngram_classes(dict(rows)).values()} == set(range(8))
+    assert {c for _, c in brute.ngram_classes(dict(rows), 5, 80).values()} == want
+    copies = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    assert {r.doc_id for r in copies(spark, docs, "").collect()} == want
+
+
 def test_stages_on_an_empty_table(spark):
     docs = brute.documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
