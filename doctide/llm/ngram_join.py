@@ -23,8 +23,9 @@ are broadcast (a fixed bound).
 
 Cases: null or empty text: an empty set, linked with nothing, its own component; fewer
 words than ``n`` make one n-gram of them all; rows that repeat an id are one document
-whose links are those of all its rows; a null id gets a null component; an empty table
-gives an empty result.
+whose links are those of all its rows (where these differ, distances to a leader do not
+bound others, and its pairs are all compared); a null id gets a null component; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -239,6 +240,14 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
     same = work.put(info.filter("id IS NOT NULL AND n > 0").groupBy(*key).agg(F.min("id").alias("rep")), "same")
     member = work.put(info.join(same, key, "left").select("id", F.col("n").alias("n_shingles"), "rep"), "member")
 
+    # ids whose rows differ: all their classes are one component
+    several = work.put(info.filter("id IS NOT NULL").groupBy("id").agg(
+        F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).filter("x <> y").select("id"), "several")
+    differ, ties = several.limit(1).count() > 0, None
+    if differ:
+        tied = work.put(member.join(several, "id", "left_semi").groupBy("id").agg(F.min("rep").alias("a")), "tied")
+        ties = work.put(member.join(tied, "id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "ties")
+
     # the index: only n-grams that two classes share
     index = work.put(rows.filter("id IS NOT NULL").mapInArrow(
         _prefixes(n, percent, shared), "token long, id long, h1 long, n int, pos int"), "index")
@@ -264,12 +273,18 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
         F.max(F.struct(F.col("inter") / F.col("uni"), "inter", "uni")).alias("s")).select("a", "b", "s.inter", "s.uni"), "first")
     work.free()
     links = first.filter(f"100 * inter >= {percent} * uni").select("a", "b")
+    if differ:
+        links = links.union(ties)
     comps = components(links, work, "first-round")
 
     # derived answers: pairs of other components, within the bound that the leader's distances leave
     placed = (entries.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
               .join(leaders.select("token", F.col("id").alias("leader")), "token"))
-    distance = first.select(F.col("a").alias("p"), F.col("b").alias("q"), (1 - F.col("inter") / F.col("uni")).alias("d"))
+    known = first
+    if differ:  # a pair's best similarity is that of one pair of its texts only
+        for side in ("a", "b"):
+            known = known.join(several.withColumnRenamed("id", side), side, "left_anti")
+    distance = known.select(F.col("a").alias("p"), F.col("b").alias("q"), (1 - F.col("inter") / F.col("uni")).alias("d"))
     placed = (placed.withColumn("p", F.least("id", "leader")).withColumn("q", F.greatest("id", "leader"))
               .join(distance, ["p", "q"], "left").filter("id <> leader")
               .select("token", "id", "n", "pos", "most", "comp", "d"))
@@ -283,6 +298,8 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
     second = _compare(pairs, texts, n).filter(f"100 * inter >= {percent} * uni").select("a", "b").distinct()
     links = work.put(links.union(second), "links")
     comps = components(links, work, "second-round")
+    if differ:
+        member = member.join(tied, "id", "left").select("id", "n_shingles", F.coalesce("rep", "a").alias("rep"))
     return member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("comp", "rep", "id").alias("component_id"))
 

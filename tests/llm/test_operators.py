@@ -323,3 +323,10 @@ def test_dual_descent_reaches_the_optimum():
         g = best - ((y * (x @ best) < 1) * y) @ x
         best -= g * 0.02 / (1 + step / 200)
     assert dual <= value(best) * 1.02
+
+
+def test_ngram_join_of_ids_with_unlike_rows(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a), (3, b), (1, a), (2, b), (7, c), (8, c), (8, None), (9, None)]
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 1), (3, 1), (7, 7), (8, 7), (8, 7), (9, 9)]
