@@ -53,15 +53,19 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 
 def quality_sql() -> str:
     edges, beyond = [], []
-    for name, low, high in rules.SIGNALS:
-        q = lambda p: f"list_sort(list({name}))[CAST(ceil({p} * count(*)) AS BIGINT)]"  # noqa: B023, E731
-        spread = f"{rules.SPREAD} * ({q(0.75)} - {q(0.25)})"
+    for name, low, high, made_of in rules.SIGNALS:
+        q = lambda p: f"list_sort(list({name}))[CAST(ceil({p}E0 * count(*)) AS BIGINT)]"  # noqa: B023, E731
+        fence = lambda p: f"{q(p)} + {rules.SPREAD}E0 * ({q(p)} - {q(0.5)})"  # noqa: B023, E731
         if low is not None:
-            edges.append(f"{q(0.25)} - {spread} - {low} AS low_{name}")
+            edges.append(f"{fence(low)} AS low_{name}")
             beyond.append(f"{name} < low_{name}")
         if high is not None:
-            edges.append(f"{q(0.75)} + {spread} + {high} AS high_{name}")
-            beyond.append(f"{name} > high_{name}")
+            edges.append(f"{fence(high)} AS high_{name}")
+            if made_of:
+                count, length = (f"CAST({x.lstrip('_')} AS DOUBLE)" for x in made_of)
+                beyond.append(f"{count} - high_{name} * {length} > {rules.NOISE}E0 * sqrt({count})")
+            else:
+                beyond.append(f"{name} > high_{name}")
     edge = [e.rsplit(" AS ", 1)[1] for e in edges]
     picked = ", ".join(f"CASE WHEN a.n >= {rules.MIN_GROUP} THEN a.{e} WHEN b.n >= {rules.MIN_GROUP} THEN b.{e} ELSE c.{e} END AS {e}" for e in edge)
     level = lambda keys: f"SELECT {keys + ', ' if keys else ''}count(*) AS n, {', '.join(edges)} FROM s WHERE NOT base_failed {'GROUP BY ' + keys if keys else ''}"

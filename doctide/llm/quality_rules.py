@@ -1,13 +1,16 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 Two fixed base rules (too few words; too much repetition) are kept as they are.
-Every other cutoff is replaced by a fence derived from mergeable quantile
-sketches (``percentile_approx`` keeps Greenwald-Khanna summaries that are built
-per task and merged per group): a document is rejected where one of its signals
-lies beyond ``quartile +- 3 * interquartile range`` of its own language and
-source, widened by a slack that keeps groups with little spread from rejecting
-ordinary documents.  Groups of fewer than ``min_group`` documents use the fences
-of their language, languages of fewer those of the whole corpus.
+Every other cutoff comes from mergeable quantile sketches of a document's own language
+and source (``percentile_approx`` keeps Greenwald-Khanna summaries, built per task and
+merged per group).  A signal's fence is ``tail + SPREAD * (tail - median)`` of its group:
+``tail`` is the quantile beyond which ordinary documents are no more than a named share
+of a group, so a group in which few documents carry a symbol rejects those that do, and
+one whose documents carry many keeps them.  No constant stands in for a value of a
+signal.  A share is a count over a length, so it must exceed its fence by ``NOISE``
+standard errors of that count: one symbol in a text proves nothing.  Groups of fewer than
+``min_group`` documents use the fences of their language, languages of fewer those of the
+whole corpus.
 
 Everything is DataFrame expressions: no Python runs on the executors.
 
@@ -25,17 +28,17 @@ from doctide.llm.work import Work, carried
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
-#: Signal, slack below the lower fence, slack above the upper fence (None: that side is open).
+#: Signal; quantiles of a group's lower and upper tail (None: that side is open); count and length that make it a share.
 SIGNALS = (
-    ("symbol_share", None, 0.06),
-    ("capital_share", None, 0.25),
-    ("dup_line_share", None, 0.50),
-    ("word_length", 2.5, 4.0),
+    ("symbol_share", None, 0.90, ("n_symbols", "word_chars")),
+    ("capital_share", None, 0.99, ("_capitals", "word_chars")),
+    ("dup_line_share", None, 0.99, ("n_dup_lines", "_lines")),
+    ("word_length", 0.10, 0.90, None),
 )
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 ACCURACY = 10_000
 MIN_GROUP = 50
-SPREAD = 3.0
+SPREAD, NOISE = 1.5, 2.0
 #: Groups up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 20_000
 
@@ -111,7 +114,7 @@ def with_shares(df: DataFrame) -> DataFrame:
         (F.col("word_chars") / words).alias("word_length"),
         ((F.col("n_words") < MIN_WORDS)
          | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
-    ).drop("_capitals", "_lines")
+    )
 
 
 def fences(signals: DataFrame, lang: str, source: str) -> DataFrame:
@@ -120,20 +123,18 @@ def fences(signals: DataFrame, lang: str, source: str) -> DataFrame:
     Documents that fail a base rule take no part.  The sketches are partial
     aggregates, so a group with a third of all rows is summed in every task.
     """
-    quantiles = [
-        F.percentile_approx(name, [0.25, 0.75], ACCURACY).alias(f"_q_{name}") for name, _, _ in SIGNALS
-    ]
+    asked = {name: [0.5, *[p for p in (low, high) if p is not None]] for name, low, high, _ in SIGNALS}
+    quantiles = [F.percentile_approx(name, asked[name], ACCURACY).alias(f"_q_{name}") for name in asked]
     rows = signals.filter(~F.col("base_failed")).groupingSets(
         [[F.col(lang), F.col(source)], [F.col(lang)], []], F.col(lang), F.col(source)
     ).agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_n"), *quantiles)
     edges = []
-    for name, low, high in SIGNALS:
-        q25, q75 = F.col(f"_q_{name}")[0], F.col(f"_q_{name}")[1]
-        spread = F.lit(SPREAD) * (q75 - q25)
-        if low is not None:
-            edges.append((q25 - spread - low).alias(f"_low_{name}"))
-        if high is not None:
-            edges.append((q75 + spread + high).alias(f"_high_{name}"))
+    for name, low, high, _ in SIGNALS:
+        middle = F.col(f"_q_{name}")[0]
+        for side, p in (("low", low), ("high", high)):
+            if p is not None:
+                tail = F.col(f"_q_{name}")[asked[name].index(p)]
+                edges.append((tail + F.lit(SPREAD) * (tail - middle)).alias(f"_{side}_{name}"))
     return rows.select(
         F.col(lang).alias("_lang"), F.col(source).alias("_source"),
         F.when(F.col("_gid") == 0, 0).when(F.col("_gid") == 1, 1).otherwise(2).alias("_level"),
@@ -171,10 +172,15 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     ).cast(kind))
     edge = F.coalesce("_e0", "_e1", "_e2")
     beyond = F.lit(False)
-    for name, low, high in SIGNALS:
+    for name, low, high, made_of in SIGNALS:
         if low is not None:
             beyond = beyond | F.coalesce(F.col(name) < edge[f"_low_{name}"], F.lit(False))
         if high is not None:
-            beyond = beyond | F.coalesce(F.col(name) > edge[f"_high_{name}"], F.lit(False))
-    out = out.withColumn("kept", ~F.col("base_failed") & ~beyond).drop("_lang", "_source", "_e0", "_e1", "_e2")
+            over = F.col(name) > edge[f"_high_{name}"]
+            if made_of:
+                count, length = F.col(made_of[0]).cast("double"), F.col(made_of[1]).cast("double")
+                over = count - edge[f"_high_{name}"] * length > F.lit(NOISE) * F.sqrt(count)
+            beyond = beyond | F.coalesce(over, F.lit(False))
+    out = out.withColumn("kept", ~F.col("base_failed") & ~beyond).drop(
+        "_lang", "_source", "_e0", "_e1", "_e2", "_capitals", "_lines")
     return out.select("_keep.*", *[c for c in out.columns if c != "_keep"])
