@@ -1,21 +1,22 @@
 """License scan: base phrases, and an exact set-similarity join with templates.
 
-A text is cut into blocks of ``BLOCK`` words, one every ``STRIDE`` words, so each
-passage of up to ``STRIDE`` words lies whole in a block.  A block matches a
-template if it contains at least ``CONTAINMENT`` of the template's distinct words.
-The join is exact and orders words by their document frequency in the whole
-corpus, rarest first:
+A text is cut into blocks of ``2 * stride`` words, one every ``stride`` words, so each
+passage of up to ``stride`` words lies whole in a block.  A template's stride is the
+power of two (``LEAST_STRIDE`` at least) that holds all its words, however long it is.
+A block matches a template if it contains at least ``CONTAINMENT`` of the template's
+distinct words.  The join is exact and orders words by their document frequency in the
+whole corpus, rarest first:
 
 * prefix filter: of a template with ``n`` words of which ``m`` must be there, any
-  matching block holds one of the ``n - m + 1`` rarest;
+  matching block holds one of the ``n - m + 1`` rarest.  An inverted index from these
+  words to their templates gives a block's candidates, so that a block meets only
+  templates it shares a rare word with, however many there are;
 * length filter: a block has at least ``m`` distinct template words;
 * positional filter: after the first shared word, enough words must be left on
   both sides.
 
-Templates are constants, so their index is a literal of the plan; documents are
-neither shuffled nor handed to Python.  Only words of the templates can count, so
-a block is reduced to those, in global order (``array_intersect`` keeps the order
-of the ordered vocabulary).
+Templates are constants: their index is a literal of the plan, a table of buckets that a
+word's checksum looks up.  Documents are neither shuffled nor handed to Python.
 
 Cases: null or empty text has no words, no labels, null places and score 0; repeated
 rows are scanned one by one; an empty table gives an empty result.
@@ -24,6 +25,8 @@ rows are scanned one by one; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,25 +52,46 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+            "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+            "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+            "subject to the following conditions"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+               "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+            "from this software without specific prior written permission"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+            "that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights "
+            "to the work worldwide under copyright law"),
 )
 CONTAINMENT = 0.9
-BLOCK, STRIDE = 64, 32
+LEAST_STRIDE = 32
 
 
 def words(text: str) -> Column:
-    """Lower-cased words of a text column.
+    """Words of a text column, A-Z lower-cased.
 
-    ``lower`` also folds letters outside A-Z; that moves no word boundary, and the
-    only letter it turns into an ASCII one is the Kelvin sign, of which no phrase or
-    template has a ``k`` that another spelling could hide.
+    ``lower`` also folds letters outside A-Z, which moves no word boundary and makes no word
+    equal to one of a phrase or template; the one letter that it turns into an ASCII one, the
+    Kelvin sign, is exchanged for another (``translate`` takes several times as long).
     """
-    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS), "")
+    plain = F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\u212a"), F.lit("\u212b")))
+    return F.array_remove(F.split(plain, SEPARATORS), "")
+
+
+def _every(statement: str) -> list[str]:
+    return re.findall("[0-9a-z]+", statement.lower())
 
 
 def _tokens(statement: str) -> list[str]:
-    import re
+    return list(dict.fromkeys(_every(statement)))
+
 
-    return list(dict.fromkeys(re.findall("[0-9a-z]+", statement.lower())))
+def stride(statement: str) -> int:
+    """Words between the blocks that a template is looked for in; blocks are twice as long."""
+    return max(LEAST_STRIDE, 1 << (len(_every(statement)) - 1).bit_length())
 
 
 def frequencies(df: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
@@ -99,15 +123,75 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+class _Index:
+    """What a word leads to: its place in the global order, and the templates in whose prefix it is."""
+
+    def __init__(self, vocabulary, index):
+        self.size = 1 << (2 * len(vocabulary)).bit_length()
+        postings: dict[str, list[tuple[int, int]]] = {}
+        for k, (_, t, p, _) in enumerate(index):
+            for at, w in enumerate(t[:p]):
+                postings.setdefault(w, []).append((k, at))
+        buckets: list[list[Column]] = [[] for _ in range(self.size)]
+        none = F.array().cast("array<struct<template:int,at:int>>")
+        for rank, w in enumerate(vocabulary):
+            found = [F.struct(F.lit(k).alias("template"), F.lit(at).alias("at")) for k, at in postings.get(w, ())]
+            buckets[zlib.crc32(w.encode()) % self.size].append(F.struct(
+                F.lit(rank).alias("rank"), F.lit(w).alias("word"), (F.array(*found) if found else none).alias("postings")))
+        kind = "array<struct<rank:int,word:string,postings:array<struct<template:int,at:int>>>>"
+        self.table = F.array(*[(F.array(*b) if b else F.array()).cast(kind) for b in buckets])
+        self.prefixes = sorted(postings)
+
+    def known(self, words: Column) -> Column:
+        """For each word: its entry, or null."""
+        return F.transform(words, lambda w: F.get(F.filter(
+            F.get(self.table, F.pmod(F.crc32(w.cast("binary")), F.lit(self.size)).cast("int")), lambda e: e["word"] == w), F.lit(0)))
+
+
+MATCHES = "array<struct<label:string,template:int,block:int,start:long,containment:double>>"
+
+
+def _matches(index, step: int) -> Column:
+    """Matches of the templates of one stride, over _e: what is known of each word."""
+    own = F.array(*[F.lit(k) for k, (*_, s) in enumerate(index) if s == step])
+    needs = F.array(*[F.lit(need) for *_, need, _ in index])
+    sets, labels = F.array(*[_strings(t) for _, t, *_ in index]), _strings([label for label, *_ in index])
+    last = F.greatest(F.ceil((F.size("_e") - step) / step).cast("int"), F.lit(1)) - 1
+
+    def block(k):
+        """Distinct known words in global order, once for all that reads them."""
+        known = F.array_sort(F.array_distinct(F.filter(F.slice("_e", k * step + 1, 2 * step), lambda e: e.isNotNull())))
+        return F.struct(k.alias("k"), known.alias("known"))
+
+    def in_block(b):
+        size = F.size(b["known"])
+
+        def wanted(e, j):
+            need = lambda p: F.get(needs, p["template"])
+            return F.transform(F.filter(e["postings"], lambda p: F.array_contains(own, p["template"]) & (size - j >= need(p))
+                                        & (F.size(F.get(sets, p["template"])) - p["at"] >= need(p))), lambda p: p["template"])
+
+        candidates = F.array_sort(F.array_distinct(F.flatten(F.transform(b["known"], wanted))))
+        shared = F.transform(candidates, lambda t: F.struct(
+            t.alias("t"), F.size(F.array_intersect(F.get(sets, t), F.transform(b["known"], lambda e: e["word"]))).alias("n")))
+        return F.transform(F.filter(shared, lambda x: x["n"] >= F.get(needs, x["t"])), lambda x: F.struct(
+            F.get(labels, x["t"]).alias("label"), x["t"].alias("template"), b["k"].alias("block"), (b["k"] * step).cast("long").alias("start"),
+            (x["n"] / F.size(F.get(sets, x["t"]))).alias("containment")))
+
+    least = min(need for *_, need, s in index if s == step)
+    blocks = F.filter(F.transform(F.sequence(F.lit(0), last), block), lambda b: F.size(b["known"]) >= least)
+    return F.flatten(F.transform(blocks, in_block))
+
+
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
          templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """keep's columns, n_words, n_base, first_word, last_word, base_labels, matches, labels, score.
 
-    matches: ``array<struct<label, template, block, containment>>``, one entry a block and
-    template that meet the threshold.
+    matches: one entry a block and template that meet the threshold; start is the block's first word.
     """
     vocabulary, index = template_index(df, text, templates, containment)
-    prefixes = sorted({w for _, t, p, _ in index for w in t[:p]})
+    index = [(*entry, stride(statement)) for entry, (_, statement) in zip(index, templates)]
+    words_to = _Index(vocabulary, [entry[:4] for entry in index])
     out = df.select(carried(keep), words(text).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
 
     def places(phrase: str) -> Column:
@@ -128,41 +212,11 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
         out = out.withColumn(f"_at_{label}", F.when(has, places(phrase)).otherwise(none))
     every = F.concat(*[F.col(f"_at_{label}") for _, label in PHRASES])
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil((F.size("_w") - STRIDE) / STRIDE).cast("int"), F.lit(1)) - 1),
-        lambda b: F.array_intersect(_strings(vocabulary), F.slice("_w", b * STRIDE + 1, BLOCK)),
-    )
-    out = out.withColumn(
-        "_b",
-        F.when((F.size("_w") > 0) & F.arrays_overlap("_w", _strings(prefixes)), blocks)
-        .otherwise(F.array().cast("array<array<string>>")),
-    )
-    library = F.array(*[
-        F.struct(
-            F.lit(label).alias("label"), F.lit(k).alias("template"), _strings(t).alias("words"),
-            _strings(t[:p]).alias("prefix"), F.lit(need).alias("need"),
-        )
-        for k, (label, t, p, need) in enumerate(index)
-    ])
-
-    def in_block(b, k):
-        def wanted(t):
-            first = F.get(F.array_intersect(t["prefix"], b), F.lit(0))
-            left = F.least(F.size(t["words"]) - F.array_position(t["words"], first),
-                           F.size(b) - F.array_position(b, first))
-            return (
-                (F.size(b) >= t["need"]) & first.isNotNull() & (left + 1 >= t["need"])
-                & (F.size(F.array_intersect(t["words"], b)) >= t["need"])
-            )
-
-        return F.transform(F.filter(library, wanted), lambda t: F.struct(
-            t["label"].alias("label"), t["template"].alias("template"), k.alias("block"),
-            (F.size(F.array_intersect(t["words"], b)) / F.size(t["words"])).alias("containment"),
-        ))
-
-    matches = F.flatten(F.transform("_b", in_block))
-    empty = F.array().cast("array<struct<label:string,template:int,block:int,containment:double>>")
-    out = out.withColumn("matches", F.when(F.size("_b") > 0, matches).otherwise(empty))
+    # texts without a prefix word have no candidates: their words are not looked up
+    shares = F.arrays_overlap("_w", _strings(words_to.prefixes)) if words_to.prefixes else F.lit(False)
+    out = out.withColumn("_e", F.when(shares, words_to.known(F.col("_w"))))
+    found = F.concat(*[_matches(index, step) for step in sorted({s for *_, s in index})]) if index else F.array()
+    out = out.withColumn("matches", F.when(F.col("_e").isNotNull(), found.cast(MATCHES)).otherwise(F.array().cast(MATCHES)))
     base = F.array_compact(F.array(*[
         F.when(F.size(f"_at_{label}") > 0, F.lit(label)) for label in sorted(x for _, x in PHRASES)
     ]))

@@ -25,8 +25,9 @@ def license_sql() -> str:
         t = scan._tokens(statement)
         need = math.ceil(scan.CONTAINMENT * len(t) - 1e-9)
         tokens = "[" + ", ".join(map(_quote, t)) + "]"
-        best = (f"coalesce(list_max(list_transform(range(0, CAST(greatest(ceil((len(w) - {scan.STRIDE}) / {scan.STRIDE}.0), 1) AS BIGINT)), "
-                f"lambda b: len(list_intersect({tokens}, w[b * {scan.STRIDE} + 1:b * {scan.STRIDE} + {scan.BLOCK}])))), 0)")
+        step = scan.stride(statement)
+        best = (f"coalesce(list_max(list_transform(range(0, CAST(greatest(ceil((len(w) - {step}) / {step}.0), 1) AS BIGINT)), "
+                f"lambda b: len(list_intersect({tokens}, w[b * {step} + 1:b * {step} + {2 * step}])))), 0)")
         hits.append(f"CASE WHEN m{k} >= {need} THEN {_quote(label)} END")
         scores.append(f"CASE WHEN m{k} >= {need} THEN m{k} / {len(t)}.0E0 ELSE 0.0E0 END")
         starts.append(f"{best} AS m{k}")
@@ -34,7 +35,8 @@ def license_sql() -> str:
     both = f"list_concat({base}, [{', '.join(hits)}])"
     joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter({x}, lambda v: v IS NOT NULL))), ',')"
     return (
-        "WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), "
+        "WITH t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+        "'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), "
         f"lambda x: x <> '') AS w FROM documents), f AS (SELECT doc_id, w, {', '.join(starts)} FROM t) "
         f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len({every}) AS BIGINT) AS n_base, "
         f"CAST(list_min({every}) - 1 AS BIGINT) AS first_word, CAST(list_max({every}) - 1 AS BIGINT) AS last_word, "

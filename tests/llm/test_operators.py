@@ -40,12 +40,25 @@ def test_license_matches_are_those_of_all_pairs(docs):
     for i, t in brute.by_id().items():
         w, n, *_ = brute.license_places(t)
         want = set()
-        for b in range(max(1, -(-(n - license_scan.STRIDE) // license_scan.STRIDE)) if n else 0):
-            block = set(w[b * license_scan.STRIDE:b * license_scan.STRIDE + license_scan.BLOCK])
-            want |= {(k, b) for k, (_, words, _, need) in enumerate(index) if len(block & set(words)) >= need}
+        for k, (_, words, _, need) in enumerate(index):
+            step = license_scan.stride(license_scan.TEMPLATES[k][1])
+            for b in range(max(1, -(-(n - step) // step)) if n else 0):
+                if len(set(w[b * step:b * step + 2 * step]) & set(words)) >= need:
+                    want.add((k, b))
         assert got[i] == want
 
 
+def test_license_templates_of_any_length(spark):
+    """A long template lies whole in one of its blocks wherever it stands; only A-Z are lower-cased."""
+    long = " ".join(f"clause{k}" for k in range(300))
+    many = [(f"l{k}", " ".join(f"w{k}x{j}" for j in range(6 + k % 30))) for k in range(150)]
+    texts = [("filler " * k + long.upper() + " filler" * 40) for k in (0, 1, 33, 300, 511)]
+    texts += ["filler " * 7 + many[k][1] + " end" for k in (3, 77, 149)] + ["This wor\u212a is licensed under wor\u212a", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan(df, templates=(("long", long), ("work", "this work is licensed"), *many)).collect()}
+    assert got == {**{k: "long" for k in range(5)}, 5: "l3", 6: "l77", 7: "l149", 8: "", 9: "", 10: ""}
+
+
 def test_line_dedup(docs, empty):
     got = {r.doc_id: (r._n_lines, r._n_dropped, r._kept) for r in line_dedup.dedup(docs, keep=("doc_id", "_keep", "_text", "id")).collect()}
     assert got == brute.line_dedup(brute.by_id()) and sum(x[1] for x in got.values()) >= 6
@@ -197,6 +210,17 @@ def test_quality_rules_keep_whole_groups_without_spread(spark):
     assert all(r.kept or r.base_failed for r in quality_rules.judge(df).collect())
 
 
+def test_quality_rules_differ_by_group(spark):
+    """One text, two sources: odd where symbols are rare, ordinary where they are common."""
+    prose = lambda k, extra: " ".join(f"word{(k * 7 + j) % 97}" for j in range(60)) + " " + extra
+    same = prose(1, "# " * 12)
+    rows = [(k, prose(k, ""), "en", "prose") for k in range(200)]
+    rows += [(200 + k, prose(k, "# " * (6 + k % 9)), "en", "code") for k in range(200)]
+    rows += [(900, same, "en", "prose"), (901, same, "en", "code"), (902, prose(1, "#"), "en", "prose")]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (got[900], got[901], got[902]) == (False, True, True) and sum(got.values()) >= 395
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 23, 50])
 def test_sharding(spark, n):
     df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(5).alias("_shard"), F.lit("x").alias("_row"), F.lit(1).alias("_keep"))
@@ -244,6 +268,23 @@ def test_topk(spark):
     assert sorted(tuple(r) for r in topk.search(df, query_block=3).collect()) == want
     assert topk.search(df.limit(0)).count() == 0
     assert [tuple(r) for r in topk.search(df.filter("vec_id = 50")).collect()] == []
+    assert sorted(tuple(r) for r in topk.search(df, query_block=3, group_rows=50).collect()) == want
+    twice = spark.createDataFrame([(50, [1.0, 0.0]), (7, [0.5, 0.0]), (7, [1.0, 1.0]), (None, [1.0, 1.0]), (50, [9.0, 9.0])], "vec_id long, embedding array<float>")
+    assert [(r.vec_id, r.score) for r in topk.search(twice, k=3).orderBy("rank").collect()] == [(7, 18 * 65536), (7, 4.5 * 65536), (7, 65536)]
+
+
+def test_topk_terms_split_by_bounds():
+    """With a k-th best score, trailing terms are non-essential, and no better vector is lost."""
+    rnd = np.random.default_rng(9)
+    rows = np.floor(rnd.normal(0, 60, (3000, 24)) * np.linspace(3, 0.1, 24))
+    shard = topk.Shard(np.arange(3000), rows)
+    query = rows[17]
+    scores = rows @ query
+    best = sorted((-s, i) for i, s in enumerate(scores) if i != 17)[:5]
+    _, essential, _ = shard.plan(query, -best[-1][0])
+    assert 0 < essential < 24 and shard.plan(query, -np.inf)[1] == 24
+    assert shard.search(query, 17, 5, best) == sorted([*best, *best])[:5]
+    assert shard.search(query, 17, 5, []) == best
 
 
 def test_mixing(docs, empty, spark):
