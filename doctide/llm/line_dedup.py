@@ -2,11 +2,13 @@
 
 Pass 1 gives each task a pair of filters: keys seen once, and keys seen twice or
 more.  Pairs merge exactly as their keys would (what two "once" filters share goes
-to "twice"), in pieces, so no task and no driver holds more than the final filter,
-whose size has a fixed bound (``MAX_BITS``).  Pass 2 probes "twice": only suspected
-repeats are shuffled, as 128-bit digests, and counted exactly, with the document to
-keep (the largest id).  Pass 3 drops the lines.  A full filter would only let more
-lines through to the exact count.
+to "twice"), piece by piece, in two steps of which each folds one row after the other
+into a piece of fixed size; the driver holds the final filter, whose size has a fixed
+bound (``MAX_BITS``).  Pass 2 probes "twice": only suspected repeats are shuffled, as
+128-bit digests, and counted exactly, with the document to keep (the largest id).  A
+full filter would only let more lines through to the exact count.  Pass 3 drops the
+lines: documents that lose none, by a filter of the ids that do, pass as they are and
+are not shuffled.
 
 Cases: a null text is one empty line; a null id counts as one document, older than
 any other; rows that repeat an id are one document and lose the same lines; an empty
@@ -17,11 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctide.llm.work import Work, carried, sliced, with_carried
@@ -29,6 +32,8 @@ from doctide.llm.work import Work, carried, sliced, with_carried
 MIN_CHARS, MIN_DOCS = 40, 5
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 BITS_A_KEY, PIECE = 8, 1 << 21
+#: Shares of the tasks whose filters are merged first.
+SHARES = 32
 BLANKS = b" \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
 
@@ -84,6 +89,18 @@ class Filters:
         self._set(self.twice, _bits(again, self.n_bits))
         self._set(self.once, _bits(unique, self.n_bits))
 
+    def pieces(self) -> Iterator[pa.RecordBatch]:
+        """The filters in pieces of PIECE bits; empty ones are left out."""
+        step = PIECE >> 3
+        for k in range(0, self.n_bits >> 3, step):
+            o, t = self.once[k:k + step], self.twice[k:k + step]
+            if o.any():
+                yield pa.RecordBatch.from_pydict({
+                    "piece": pa.array([k // step], pa.int32()),
+                    "once": pa.array([zlib.compress(o.tobytes(), 1)], pa.binary()),
+                    "twice": pa.array([zlib.compress(t.tobytes(), 1)], pa.binary()),
+                })
+
 
 def merge(pairs) -> tuple[np.ndarray, np.ndarray]:
     once = twice = None
@@ -102,31 +119,21 @@ def _build(n_bits: int, least: int):
         for batch in sliced(batches):
             hashes = [xxhash.xxh3_64_intdigest(k) for t in batch.column("text").to_pylist() for k in _doc_keys(t, least)]
             f.add(np.array(hashes, np.uint64))
-        step = PIECE >> 3
-        for k in range(0, n_bits >> 3, step):
-            o, t = f.once[k:k + step], f.twice[k:k + step]
-            if o.any():
-                yield pa.RecordBatch.from_pydict({
-                    "piece": pa.array([k // step], pa.int32()),
-                    "once": pa.array([zlib.compress(o.tobytes(), 1)], pa.binary()),
-                    "twice": pa.array([zlib.compress(t.tobytes(), 1)], pa.binary()),
-                })
+        yield from f.pieces()
     return run
 
 
-def _merge_piece(rows):
-    """The rows of one piece: at most one a task, each of bounded size, folded one after the other."""
-    piece, once, twice = 0, None, None
+def _merge_piece(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one piece, folded one after the other."""
+    piece = once = twice = None
     for batch in rows:
         piece = batch.column("piece")[0].as_py()
-        pairs = [] if once is None else [(once, twice)]
-        pairs += [tuple(np.frombuffer(zlib.decompress(x), np.uint8) for x in p)
-                  for p in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist())]
-        once, twice = merge(pairs)
+        for k in range(len(batch)):
+            pair = tuple(np.frombuffer(zlib.decompress(batch.column(name)[k].as_py()), np.uint8) for name in ("once", "twice"))
+            once, twice = merge([pair] if once is None else [(once, twice), pair])
     yield pa.RecordBatch.from_pydict({
-        "piece": pa.array([piece], pa.int32()),
-        "twice": pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary()),
-    })
+        "piece": pa.array([piece], pa.int32()), "once": pa.array([zlib.compress(once.tobytes(), 1)], pa.binary()),
+        "twice": pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())})
 
 
 def _suspects(shared, n_bits: int, least: int):
@@ -184,47 +191,94 @@ def filter_size(df: DataFrame, text: str, least: int) -> int:
     return n
 
 
-def twice_filter(rows: DataFrame, n_bits: int, least: int) -> bytes:
-    """The merged filter of keys seen twice or more (its size is bounded by MAX_BITS)."""
-    pieces = rows.select("text").mapInArrow(_build(n_bits, least), "piece int, once binary, twice binary")
-    merged = pieces.groupBy("piece").applyInArrow(_merge_iter, "piece int, twice binary").collect()
+PIECES = "piece int, once binary, twice binary"
+
+
+def _merged(pieces: DataFrame, n_bits: int, column: str) -> bytes:
+    """The filter that tasks' pieces make: first those of a share of the tasks, then the shares'."""
+    shares = pieces.withColumn("share", F.spark_partition_id() % SHARES).groupBy("piece", "share").applyInArrow(_merge_piece, PIECES)
     table = np.zeros(n_bits >> 3, np.uint8)
     step = PIECE >> 3
-    for r in merged:
-        part = np.frombuffer(zlib.decompress(bytes(r["twice"])), np.uint8)
+    for r in shares.groupBy("piece").applyInArrow(_merge_piece, PIECES).select("piece", column).toLocalIterator():
+        part = np.frombuffer(zlib.decompress(bytes(r[column])), np.uint8)
         table[r["piece"] * step:r["piece"] * step + len(part)] = part
     return zlib.compress(table.tobytes(), 1)
 
 
-def _merge_iter(table: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(list(_merge_piece(table.to_batches())))
+def twice_filter(rows: DataFrame, n_bits: int, least: int) -> bytes:
+    """The merged filter of keys seen twice or more (its size is bounded by MAX_BITS)."""
+    return _merged(rows.select("text").mapInArrow(_build(n_bits, least), PIECES), n_bits, "twice")
+
+
+def _add_ids(n_bits: int):
+    def run(batches):
+        f = Filters(n_bits)
+        for batch in batches:
+            f.add(id_hashes(batch.column("id").to_numpy(zero_copy_only=False)))
+        yield from f.pieces()
+    return run
+
+
+def id_hashes(ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    return x ^ (x >> np.uint64(32))
+
+
+def among(ids: DataFrame, count: int) -> Callable[[Column], Column]:
+    """A test for ids of a table with count of them: always true for its ids, seldom for others.
+
+    The filter's size is bounded (``MAX_BITS``); a full one lets more ids through.
+    """
+    n_bits = MIN_BITS
+    while n_bits < min(BITS_A_KEY * 2 * count, MAX_BITS):
+        n_bits *= 2
+    table = _merged(ids.select("id").mapInArrow(_add_ids(n_bits), PIECES), n_bits, "once")
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+    held: dict[int, np.ndarray] = {}  # of a worker, which unpacks the filter once
+
+    @F.arrow_udf("boolean")
+    def test(column: pa.Array) -> pa.Array:
+        if 0 not in held:
+            held[0] = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        return pa.array(Filters.has(held[0], id_hashes(column.to_numpy(zero_copy_only=False))))
+
+    return test
 
 
-def repeated_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id",
+def repeated_lines(df: DataFrame, work: Work, text: str = "text", id_col: str = "doc_id",
                    min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, key digest) of each line key that its document must lose."""
+    """(id, gone) for each document that must lose lines: the digests of their keys."""
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
                      F.col(text).cast("binary").alias("text"))
     n_bits = filter_size(df, text, min_chars)
     shared = spark.sparkContext.broadcast(twice_filter(rows, n_bits, min_chars))
-    work = Work(spark, "line-dedup")
     suspects = work.put(rows.mapInArrow(_suspects(shared, n_bits, min_chars), "key binary, id long"), "suspects")
     # as a table, so that both sides of the join are plain exchanges and Spark can split a frequent key
     confirmed = work.put(
         suspects.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
         .filter(F.col("n") >= min_docs).select("key", "keeper"), "confirmed")
-    return suspects.join(confirmed, "key").filter(F.col("id") != F.col("keeper")).select("id", "key")
+    gone = work.put(suspects.join(confirmed, "key").filter(F.col("id") != F.col("keeper"))
+                    .groupBy("id").agg(F.collect_set("key").alias("gone")), "gone")
+    work.drop("suspects", "confirmed")
+    return gone
 
 
 def dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] | None = None,
           min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """keep's columns (default: all but text), then _kept (text without the dropped lines), _n_lines, _n_dropped."""
     keep = tuple(c for c in df.columns if c != text) if keep is None else keep
-    gone = repeated_lines(df, text, id_col, min_docs, min_chars)
-    gone = gone.groupBy("id").agg(F.collect_set("key").alias("_gone")).withColumnRenamed("id", "_id")
+    gone = repeated_lines(df, Work(df.sparkSession, "line-dedup"), text, id_col, min_docs, min_chars)
+    loses = among(gone, gone.count())
     rows = df.select(carried(keep), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"),
-                     F.col(text).cast("binary").alias("_text"))
-    joined = rows.join(gone.hint("shuffle_hash"), "_id", "left").drop("_id")
-    out = joined.mapInArrow(_drop(min_chars), with_carried(rows, "_kept binary, _n_lines long, _n_dropped long"))
-    return out.select("_keep.*", F.col("_kept").cast("string").alias("_kept"), "_n_lines", "_n_dropped")
+                     F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_loses", loses("_id"))
+    whole = rows.filter(~F.col("_loses")).select(
+        "_keep", F.col("_text").alias("_kept"),
+        (F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("_n_lines"),
+        F.lit(0).cast("long").alias("_n_dropped"))
+    some = rows.filter("_loses").select("_keep", "_id", F.col("_text").cast("binary").alias("_text"))
+    joined = some.join(gone.withColumnsRenamed({"id": "_id", "gone": "_gone"}).hint("shuffle_hash"), "_id", "left").drop("_id")
+    cut = joined.mapInArrow(_drop(min_chars), with_carried(rows, "_kept binary, _n_lines long, _n_dropped long"))
+    return whole.union(cut.withColumn("_kept", F.col("_kept").cast("string"))).select("_keep.*", "_kept", "_n_lines", "_n_dropped")
