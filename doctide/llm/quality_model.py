@@ -13,7 +13,8 @@ that the driver's work and memory have a fixed bound; scoring covers all rows, w
 texts.  Only the text is an input of a score.
 
 Cases: null and empty texts get the score of a text without n-grams; labels that are
-null are not learnt from; of a row with several labels the least counts; without rows
+null are not learnt from; of an id with several labels the least counts, of one with several
+texts the least; without rows
 of both classes every score is the training rows' mean label (0.5 without any); an
 empty table gives an empty result.
 """
@@ -197,11 +198,10 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
         .groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label)).cast("int").alias("label"))
         .withColumn("order", F.xxhash64("_id")).orderBy("order", "_id").limit(sample)
     )
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text).cast("binary").alias("text"))
-    got = rows.join(F.broadcast(chosen), "_id").select("order", "label", "text").mapInArrow(
-        _featurise(bits), "order long, label int, features binary").toArrow().sort_by("order")
-    # a row that repeats an id adds to the sample: the first of them are taken
-    got = got.slice(0, sample)
+    rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    # one text an id, summed before the shuffle: no more than sample rows leave the executors
+    texts = rows.join(F.broadcast(chosen), "_id").groupBy("order", "label").agg(F.min("text").alias("text"))
+    got = texts.mapInArrow(_featurise(bits), "order long, label int, features binary").toArrow().sort_by("order")
     features = [np.frombuffer(x, np.int32) for x in got.column("features").to_pylist()]
     return fit(features, np.array([min(max(y, 0), 1) for y in got.column("label").to_pylist()]), bits)
 

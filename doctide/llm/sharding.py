@@ -21,8 +21,6 @@ rows are still dealt one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from math import exp, lgamma
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +29,8 @@ from doctide.llm.work import Work, carried
 
 #: Rows a bucket of the last permutation holds, about.
 BUCKET_ROWS = 4096
+#: Below numpy's limit on each part of a population.
+LIMIT = 1_000_000_000
 
 
 def communication_matrix(parts: np.ndarray, shards: np.ndarray, seed: int) -> np.ndarray:
@@ -53,35 +53,29 @@ def communication_matrix(parts: np.ndarray, shards: np.ndarray, seed: int) -> np
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Hypergeometric draw.  Beyond numpy's limit on populations: inversion outwards from the mode."""
+    """Hypergeometric draw: how many good ones are among the first n of good + bad in random order.
+
+    Beyond numpy's limit on populations the order is split: the middle good one's place is that of an
+    order statistic of uniforms, the bad ones before it are binomial given that place, and either it is
+    among the first n, with all before it, or the draw lies before it.  Each split halves the good ones.
+    """
+    found = 0
+    while n and good and bad and max(good, bad) >= LIMIT:
+        if n >= good + bad:
+            return found + good
+        if good < bad and good < LIMIT // 2:  # the bad ones are halved instead
+            return found + n - _draw(rng, bad, good, n)
+        k = (good + 1) // 2
+        before = int(rng.binomial(bad, rng.beta(k, good + 1 - k)))
+        if k + before <= n:
+            found, good, bad, n = found + k, good - k, bad - before, n - k - before
+        else:
+            good, bad = k - 1, before
     if n == 0 or good == 0:
-        return 0
-    if bad == 0:
-        return n
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    low, high = max(0, n - bad), min(n, good)
-    mode = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
-    choose = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
-    at_mode = exp(choose(good, mode) + choose(bad, n - mode) - choose(good + bad, n))
-    u, up, down, p_up, p_down = rng.random(), mode, mode, at_mode, at_mode
-    u -= at_mode
-    while u > 0 and (up < high or down > low):
-        if up < high:
-            p_up *= (good - up) * (n - up) / ((up + 1) * (bad - n + up + 1))
-            up += 1
-            u -= p_up
-            if u <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - n + down) / ((good - down + 1) * (n - down + 1))
-            down -= 1
-            u -= p_down
-            if u <= 0:
-                return down
-        if max(p_up, p_down) < 1e-18:
-            break
-    return mode
+        return found
+    if bad == 0 or n >= good + bad:
+        return found + min(n, good)
+    return found + int(rng.hypergeometric(good, bad, n))
 
 
 def shard(df: DataFrame, n_shards: int = 8, seed: int = 20) -> DataFrame:

@@ -3,28 +3,34 @@
 Every string of ``LENGTH`` bytes contains an anchor that its own bytes choose: the
 least of its ``GRAM``-byte substrings, by hash.  Only suffixes at anchors are indexed
 (about one in eighty), which is enough, as equal strings have equal anchors.  A suffix
-array is a sorted run of those suffixes' leading ``GRAM`` bytes, by fingerprint: order
-among different prefixes is not needed, only that equal ones meet.
+array is a sorted run of such suffixes with their places: ordered by the fingerprint of
+their leading ``GRAM`` bytes, then by that of the segment around the anchor (the strings
+between one anchor and the next), then by place.  Order by fingerprints is not that of the
+alphabet, but brings equal prefixes together just as well, in 8 bytes.
 
 Documents come in batches.  A batch gets its own array, which is merge-scanned against
-the arrays of the levels that exist, and then becomes a level itself; levels of equal
-size merge into one of twice the size, so there are never more than log2(batches).
-Suffixes whose prefix occurs twice are candidates, and the strings around their anchors
-are then compared:
-
-* the strings between one anchor and the next form a segment.  A segment that occurs
-  twice repeats in all its strings;
-* segments that do not, beside others of the same anchor, are opened: first in blocks
+those of the levels that exist (each has a directory of its prefixes): an equal prefix is
+a match of ``GRAM`` bytes at least, an equal segment a match of all its strings.  The
+batch then becomes a level itself, and levels of equal size merge into one of twice the
+size, so there are never more than log2(batches).  An ``IndexFamily`` kept by the caller
+takes later batches: only these are scanned, against all that came before.
+
+What matches by prefix but not by segment is then decided:
+
+* segments that occur once, beside others of the same anchor, are opened in blocks
   of ``BLOCK`` strings, which are looked for among those blocks that have the same core
-  (the bytes that all strings of a block share), then, where a core has several kinds
-  of blocks, string by string.
+  (the bytes that all strings of a block share);
+* where a core has several kinds of blocks, string by string.
 
-Comparisons use two independent 64-bit fingerprints.  No step brings the rows of an
-anchor together: counts are summed before the shuffle, and joins are of a kind that
-Spark splits where a key is frequent.
+Equality of prefixes, segments and blocks is that of 64-bit fingerprints, each within an
+equal prefix or core; that of single strings of two independent 64-bit fingerprints.  No
+step brings the rows of an anchor together: counts are summed before the shuffle, sorted
+runs are dealt by all their columns, and joins are of a kind that Spark splits where a key
+is frequent.  Texts are shuffled only of documents that have something to decide or to lose.
 
 Cases: null and empty texts, and texts shorter than ``LENGTH`` bytes, lose nothing;
-equal rows are repeats of each other; an empty table gives an empty result.
+equal rows are repeats of each other; rows that repeat an id, or have none, are told
+apart by their texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,9 +40,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doctide.llm.bloom import among
 from doctide.llm.work import Work, carried, sliced, with_carried
 
-LENGTH, GRAM, BATCHES = 200, 40, 4
+LENGTH, GRAM, BATCHES = 200, 40, 2
 #: Strings of a segment that are compared as one.
 BLOCK = 8
 #: Bytes that are scanned at once.
@@ -164,13 +171,13 @@ def _index(n_batches: int):
                 if not len(text):
                     continue
                 own = pa.array(rows[text])
-                ids = batch.column("id").take(own)
+                ids = batch.column("d1").take(own)
                 number = (mix(ids.to_numpy().view(np.uint64)) % np.uint64(n_batches)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(number), pa.array(anchor), pa.array(print_), ids, batch.column("crc").take(own),
+                    [pa.array(number), pa.array(anchor), pa.array(print_), ids, batch.column("d2").take(own),
                      pa.array((place + shift[text]).astype(np.int32)), pa.array(count.astype(np.int32)),
                      pa.array(again.astype(np.int32))],
-                    ["batch", "key", "seg", "id", "crc", "s", "n", "again"])
+                    ["batch", "key", "seg", "d1", "d2", "s", "n", "again"])
     return run
 
 
@@ -228,9 +235,9 @@ def _blocks(batches):
             pick = lambda name, kind: pa.array(np.array([x[name] for x in found], kind)[owner])
             start = np.array([x["s"] for x in found], np.int64)[owner] + at[first] - base[owner]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), batch.column("id").take(doc), batch.column("crc").take(doc),
+                [pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), batch.column("d1").take(doc), batch.column("d2").take(doc),
                  pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pick("c", np.int64), pick("again", np.int32)],
-                ["core", "whole", "id", "crc", "s", "n", "c", "again"])
+                ["core", "whole", "d1", "d2", "s", "n", "c", "again"])
 
 
 def _strings(batches):
@@ -242,9 +249,9 @@ def _strings(batches):
             start = np.array([x["s"] for x in found], np.int64)[part] + at - base[part]
             w1, w2 = (mix(Prints(data, k).of(LENGTH))[at].view(np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w1), pa.array(w2), batch.column("id").take(doc), batch.column("crc").take(doc), pa.array(start.astype(np.int32)),
+                [pa.array(w1), pa.array(w2), batch.column("d1").take(doc), batch.column("d2").take(doc), pa.array(start.astype(np.int32)),
                  pa.array(np.array([x["c"] for x in found], np.int64)[part])],
-                ["w1", "w2", "id", "crc", "s", "c"])
+                ["w1", "w2", "d1", "d2", "s", "c"])
 
 
 def covered(runs, size: int) -> list[tuple[int, int]]:
@@ -278,74 +285,108 @@ def _cut(batches):
             "_n_spans": pa.array(spans, pa.int64())})
 
 
+ENTRY = "key long, seg long, d1 long, d2 long, s int, n int, again int"
+DIRECTORY = "key long, n long"
+
+
 class IndexFamily:
-    """Levels of sorted suffix runs (key, n); add() returns the keys that a batch makes repeated."""
+    """Levels of sorted suffix entries, each with a directory (key, n) of its prefixes, as tables of one folder.
 
-    def __init__(self, work: Work):
-        self.work, self.levels, self.made = work, [], 0
+    levels: (batches, name) of each level, the oldest first.
+    """
 
-    def _put(self, df: DataFrame) -> tuple[str, DataFrame]:
-        name = f"level-{self.made}"
-        self.made += 1
-        return name, self.work.put(df.sortWithinPartitions("key"), name)
+    def __init__(self, work: Work, levels: list[tuple[int, str]] | None = None):
+        self.work, self.levels = work, list(levels or [])
+        self.made = max((int(name) for _, name in self.levels), default=-1) + 1
+
+    def entries(self) -> DataFrame | None:
+        """All suffixes that are indexed."""
+        out = None
+        for _, name in self.levels:
+            run = self.work.get(f"run-{name}", ENTRY)
+            out = run if out is None else out.union(run)
+        return out
+
+    def directory(self, name: str) -> DataFrame:
+        return self.work.get(f"directory-{name}", DIRECTORY)
 
-    def add(self, suffixes: DataFrame) -> DataFrame:
-        """suffixes has columns key and n, how often its prefix is there: one row a suffix."""
-        name, new = self._put(suffixes.groupBy("key").agg(F.sum("n").alias("n")))
+    def _put(self, size: int, entries: DataFrame, directory: DataFrame) -> None:
+        name = str(self.made)
+        self.made += 1
+        order = ["key", "seg", "d1", "d2", "s"]
+        self.work.put(entries.repartitionByRange(*order).sortWithinPartitions(*order), f"run-{name}")
+        self.work.put(directory.groupBy("key").agg(F.sum("n").alias("n")), f"directory-{name}")
+        self.levels.append((size, name))
+
+    def add(self, entries: DataFrame, found_in: Work) -> DataFrame:
+        """Index a batch; the prefixes that it holds and that are there twice or more."""
+        before = list(self.levels)
+        self._put(1, entries, entries.select("key", (1 + F.col("again")).cast("long").alias("n")))
+        new = self.directory(self.levels[-1][1])
         found = new.filter("n > 1").select("key")
-        for _, _, level in self.levels:
-            found = found.union(new.join(level.select("key"), "key", "left_semi").select("key"))
-        found = self.work.put(found, f"found-{name}")
-        self.levels.append((1, name, new))
+        for _, name in before:
+            found = found.union(new.select("key").join(self.directory(name).select("key"), "key", "left_semi"))
+        found = found_in.put(found, f"found-{self.levels[-1][1]}")
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, a, x), (_, b, y) = self.levels.pop(), self.levels.pop()
-            name, merged = self._put(x.union(y).groupBy("key").agg(F.sum("n").alias("n")))
-            self.levels.append((2 * size, name, merged))
-            self.work.drop(a, b)
+            (size, a), (_, b) = self.levels.pop(), self.levels.pop()
+            runs = [self.work.get(f"run-{name}", ENTRY) for name in (a, b)]
+            self._put(2 * size, runs[0].union(runs[1]), self.directory(a).union(self.directory(b)))
+            self.work.drop(*[f"{kind}-{name}" for kind in ("run", "directory") for name in (a, b)])
         return found
 
 
-def repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", n_batches: int = BATCHES) -> DataFrame:
-    """id, crc, runs: array of (s, n), the starts s .. s + n - 1 of strings that start elsewhere too."""
+def repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", n_batches: int = BATCHES,
+            family: IndexFamily | None = None, known: DataFrame | None = None) -> DataFrame:
+    """d1, d2 (a digest of the row), runs: array of (s, n), the starts s .. s + n - 1 of strings that start elsewhere too.
+
+    family: an index that has the rows of known, and gets those of df; else one is made for df, and deleted.
+    """
     work = Work(df.sparkSession, "suffix-dedup")
     rows = _rows(df, text, id_col)
-    entries = work.put(rows.mapInArrow(
-        _index(n_batches), "batch int, key long, seg long, id long, crc long, s int, n int, again int"), "entries", "batch")
-    family, found = IndexFamily(work), None
+    entries = work.put(rows.mapInArrow(_index(n_batches), f"batch int, {ENTRY}"), "entries", "batch")
+    own = family is None
+    family, found = IndexFamily(work) if own else family, None
     for k in range(n_batches):
-        got = family.add(entries.filter(F.col("batch") == k).select("key", (1 + F.col("again")).alias("n")))
+        got = family.add(entries.filter(F.col("batch") == k).drop("batch"), work)
+        work.drop(f"entries/batch={k}")
         found = got if found is None else found.union(got)
-    work.drop(*[name for _, name, _ in family.levels])
-    keys = work.put(found.distinct(), "keys")
-    candidates = work.put(entries.drop("batch").join(keys, "key", "left_semi"), "candidates")
     work.drop("entries")
+    keys = work.put(found.distinct(), "keys")
+    candidates = work.put(family.entries().join(keys, "key", "left_semi"), "candidates")
+    if own:
+        work.drop(*[f"{kind}-{name}" for kind in ("run", "directory") for _, name in family.levels])
+    if known is not None:
+        rows = rows.union(_rows(known, text, id_col))
     counts = work.put(candidates.groupBy("key", "seg").agg(
         F.count(F.lit(1)).alias("c"), F.max("again").alias("again"),
-        F.min(F.struct("id", "crc", "s", "n")).alias("one")), "segments")
+        F.min(F.struct("d1", "d2", "s", "n")).alias("one")), "segments")
     # segments that occur twice repeat in whole
-    whole = candidates.join(counts.filter("c > 1").select("key", "seg"), ["key", "seg"], "left_semi").select("id", "crc", "s", "n")
+    whole = candidates.join(counts.filter("c > 1").select("key", "seg"), ["key", "seg"], "left_semi").select("d1", "d2", "s", "n")
     whole = work.put(whole, "whole")
-    work.drop("candidates", "keys", *[f"found-level-{k}" for k in range(family.made)])
+    work.drop("candidates", "keys", *[f"found-{k}" for k in range(family.made)])
+    work.free()
 
     # segments that occur once, beside others of their anchor or with strings that may repeat within: by blocks
-    blocks = work.put(_listed(rows, _undecided(work, counts, "key"), "key").mapInArrow(
-        _blocks, "core long, whole long, id long, crc long, s int, n int, c long, again int"), "blocks")
-    work.drop("segments")
+    blocks = work.put(_listed(work, rows, _undecided(work, counts, "key"), "key").mapInArrow(
+        _blocks, "core long, whole long, d1 long, d2 long, s int, n int, c long, again int"), "blocks")
+    work.drop("segments", "listed-key")
     kinds = work.put(blocks.groupBy("core", "whole").agg(
-        F.sum("c").alias("c"), F.max("again").alias("again"), F.min(F.struct("id", "crc", "s", "n")).alias("one")), "kinds")
+        F.sum("c").alias("c"), F.max("again").alias("again"), F.min(F.struct("d1", "d2", "s", "n")).alias("one")), "kinds")
     same = blocks.filter("c = 1").join(kinds.filter("c > 1").select("core", "whole"), ["core", "whole"], "left_semi")
-    same = work.put(same.select("id", "crc", "s", "n"), "same")
+    same = work.put(same.select("d1", "d2", "s", "n"), "same")
     work.drop("blocks")
+    work.free()
 
     # blocks that occur once, beside others with their core: string by string
-    strings = work.put(_listed(rows, _undecided(work, kinds, "core")).mapInArrow(
-        _strings, "w1 long, w2 long, id long, crc long, s int, c long"), "strings")
-    work.drop("kinds")
+    strings = work.put(_listed(work, rows, _undecided(work, kinds, "core"), "core").mapInArrow(
+        _strings, "w1 long, w2 long, d1 long, d2 long, s int, c long"), "strings")
+    work.drop("kinds", "listed-core")
     twice = work.put(strings.groupBy("w1", "w2").agg(F.sum("c").alias("total")).filter("total > 1").select("w1", "w2"), "twice")
-    single = strings.filter("c = 1").join(twice, ["w1", "w2"], "left_semi").select("id", "crc", "s", F.lit(1).alias("n"))
-    runs = whole.union(same).union(single).groupBy("id", "crc").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    single = strings.filter("c = 1").join(twice, ["w1", "w2"], "left_semi").select("d1", "d2", "s", F.lit(1).alias("n"))
+    runs = whole.union(same).union(single).groupBy("d1", "d2").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
     runs = work.put(runs, "runs")
     work.drop("whole", "same", "strings", "twice", "mixed-key", "mixed-core")
+    work.free()
     return runs
 
 
@@ -359,25 +400,38 @@ def _undecided(work: Work, kinds: DataFrame, key: str) -> DataFrame:
     return kinds.join(mixed, key, "left_semi")
 
 
-def _listed(rows: DataFrame, kinds: DataFrame, *more: str) -> DataFrame:
-    """text, id, crc, listed: one place of each kind, collected for the text that holds it (bounded by its length)."""
-    listed = kinds.groupBy("one.id", "one.crc").agg(
-        F.collect_list(F.struct("one.s", "one.n", "c", "again", *more)).alias("listed"))
-    return rows.join(listed.hint("shuffle_hash"), ["id", "crc"]).select("text", "id", "crc", "listed")
+def _listed(work: Work, rows: DataFrame, kinds: DataFrame, key: str) -> DataFrame:
+    """text, d1, d2, listed: one place of each kind, collected for the text that holds it (bounded by its length)."""
+    listed = work.put(kinds.groupBy(F.col("one.d1").alias("d1"), F.col("one.d2").alias("d2")).agg(
+        F.collect_list(F.struct("one.s", "one.n", "c", "again", *(["key"] if key == "key" else []))).alias("listed")), f"listed-{key}")
+    return _among(rows, listed, "d1").join(listed.hint("shuffle_hash"), ["d1", "d2"]).select("text", "d1", "d2", "listed")
+
+
+def _among(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """rows without most of those that are not among some."""
+    return rows.filter(among(some.select(F.col("d1").alias("id")), some.count())(key))
+
+
+def _digests(data, row_id) -> list:
+    """A row's 128-bit digest, by id and text: equal rows share it."""
+    return [F.xxhash64(F.lit(1), row_id, data).alias("d1"), F.xxhash64(F.lit(2), data, row_id).alias("d2")]
 
 
 def _rows(df: DataFrame, text: str, id_col: str) -> DataFrame:
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(data).alias("crc"), data.alias("text"))
+    data, row_id = F.coalesce(F.col(text), F.lit("")).cast("binary"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    return df.select(*_digests(data, row_id), data.alias("text"))
 
 
 def dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ("doc_id",),
-          n_batches: int = BATCHES) -> DataFrame:
-    """keep's columns, _kept (binary), _n_removed, _n_spans for each row."""
-    found = repeats(df, text, id_col, n_batches).select(
-        F.col("id").alias("_id"), F.col("crc").alias("_crc"), F.col("runs").alias("_runs"))
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = df.select(carried(keep), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), data.alias("_text")).withColumn("_crc", F.crc32("_text"))
-    joined = rows.join(found.hint("shuffle_hash"), ["_id", "_crc"], "left").drop("_id", "_crc")
-    out = joined.mapInArrow(_cut, with_carried(rows, "_kept binary, _n_removed long, _n_spans long"))
-    return out.select("_keep.*", "_kept", "_n_removed", "_n_spans")
+          n_batches: int = BATCHES, family: IndexFamily | None = None, known: DataFrame | None = None) -> DataFrame:
+    """keep's columns, _kept (binary), _n_removed, _n_spans for each row of df; family and known as in repeats."""
+    found = repeats(df, text, id_col, n_batches, family, known)
+    data, row_id = F.coalesce(F.col(text), F.lit("")).cast("binary"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    rows = df.select(carried(keep), data.alias("_text"), *[c.alias(f"_{n}") for c, n in zip(_digests(data, row_id), ("d1", "d2"))])
+    rows = rows.withColumn("_some", among(found.select(F.col("d1").alias("id")), found.count())("_d1"))
+    zero = F.lit(0).cast("long")
+    clean = rows.filter(~F.col("_some")).select("_keep", F.col("_text").alias("_kept"), zero.alias("_n_removed"), zero.alias("_n_spans"))
+    runs = found.withColumnsRenamed({"d1": "_d1", "d2": "_d2", "runs": "_runs"}).hint("shuffle_hash")
+    joined = rows.filter("_some").drop("_some").join(runs, ["_d1", "_d2"], "left").drop("_d1", "_d2")
+    cut = joined.mapInArrow(_cut, with_carried(rows, "_kept binary, _n_removed long, _n_spans long"))
+    return clean.union(cut).select("_keep.*", "_kept", "_n_removed", "_n_spans")

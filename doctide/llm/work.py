@@ -13,6 +13,7 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -72,17 +73,34 @@ def release() -> None:
         pass
 
 
-_recorders: list[list[Work]] = []
+class _Recorders(threading.local):
+    """Of each thread its own: pipelines that run at once do not see each other's folders."""
+
+    def __init__(self):
+        self.lists: list[list[Work]] = []
+
+
+_recorders = _Recorders()
+_left: list[Work] = []
+
+
+@atexit.register
+def _delete_left() -> None:
+    """At the driver's end, the folders of all runs: until then their lazy results may read them."""
+    for work in _left:
+        with contextlib.suppress(Exception):  # the session may have gone
+            if not work.kept and work.spark.sparkContext._jsc is not None:
+                work.drop()
 
 
 @contextlib.contextmanager
 def recorded(made: list[Work]):
     """Folders that operators make meanwhile are added to made."""
-    _recorders.append(made)
+    _recorders.lists.append(made)
     try:
         yield
     finally:
-        _recorders.remove(made)
+        _recorders.lists.remove(made)
 
 
 def sweep(made: list[Work], reads: DataFrame) -> None:
@@ -99,11 +117,14 @@ def sweep(made: list[Work], reads: DataFrame) -> None:
 class Work:
     """A folder of working tables for one run of an operator."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        for made in _recorders:
-            made.append(self)
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None):
+        """path: a folder of the caller's, which is not deleted at the driver's end."""
+        self.spark, self.kept = spark, path is not None
+        self.path = path or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if not self.kept:
+            _left.append(self)
+            for made in _recorders.lists:
+                made.append(self)
 
     def put(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write df as a table and return it as read from there."""
@@ -123,7 +144,6 @@ class Work:
         for target in [f"{self.path}/{name}" for name in names] or [self.path]:
             path = jvm.org.apache.hadoop.fs.Path(target)
             path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
-        self.free()
 
     def free(self) -> None:
         """Let Spark's cleaner delete the shuffle files of finished jobs."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from doctide.llm import license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, sharding, suffix_dedup, topk
 from doctide.llm.queries import tokenizer
+from doctide.llm.work import Work
 
 PIECES = tokenizer("piece_bpe_32k.model")
 
@@ -115,6 +116,26 @@ def test_suffix_dedup_of_random_and_repeated_rows(spark):
     assert _suffix(df) == want
 
 
+def test_suffix_dedup_of_later_batches(spark, docs):
+    """A kept index: later documents lose what repeats in them or in those before; levels merge geometrically."""
+    rows = [(i, t) for i, t in brute.by_id().items()]
+    parts = [rows[k::3] for k in range(3)]
+    frames = [spark.createDataFrame(p, "doc_id long, text string") for p in parts]
+    index, known, before = suffix_dedup.IndexFamily(Work(spark, "kept-index")), None, []
+    for part, frame in zip(parts, frames):
+        before += part
+        want = sorted(brute.suffix_dedup([(i, t.encode()) for i, t in before]))
+        ids = {i for i, _ in part}
+        index = suffix_dedup.IndexFamily(index.work, index.levels)
+        assert _suffix(frame, n_batches=1, family=index, known=known) == [x for x in want if x[0] in ids]
+        known = frame if known is None else known.union(frame)
+    assert [size for size, _ in index.levels] == [2, 1]
+    run = index.work.get(f"run-{index.levels[0][1]}", suffix_dedup.ENTRY)
+    assert run.count() + index.work.get(f"run-{index.levels[1][1]}", suffix_dedup.ENTRY).count() == index.entries().count() > 50
+    parts = run.withColumn("p", F.spark_partition_id()).collect()
+    assert all(list(x) == sorted(x) for p in {r.p for r in parts} for x in [[(r.key, r.seg, r.d1, r.d2, r.s) for r in parts if r.p == p]])
+
+
 def test_suffix_scan_in_pieces_gives_the_same(docs, monkeypatch):
     want = _suffix(docs)
     text = np.frombuffer((brute.texts()[-3] * 3).encode(), np.uint8)
