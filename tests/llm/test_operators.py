@@ -318,35 +318,50 @@ def test_mixing(docs, empty, spark):
     taken = mixing.take(docs)
     assert taken.columns == docs.columns and Counter(r.doc_id for r in taken.collect()) == seen
     assert mixing.mix(empty).count() == 0 and mixing.take(empty).count() == 0
-    totals = Counter()
+    totals, longest = Counter(), Counter()
     for k, t, _, s, *_ in brute.rows():
-        totals[s] += max(1, len((t or "").split()))
-    chosen = mixing.plan({str(s): n for s, n in totals.items()})
-    for s, n in totals.items():
-        weight, take = chosen[str(s)]
-        longest = max(max(1, len((t or "").split())) for _, t, _, x, *_ in brute.rows() if x == s)
-        assert n <= take <= 2 * n + 1 and take - longest < tokens[s] <= take
+        n = max(1, len((t or "").split()))
+        totals[s] += n
+        longest[s] = max(longest[s], n)
+    chosen = mixing.decide(list(totals.values()), [1] * len(totals))
+    for (s, n), (total, weight, take) in zip(totals.items(), chosen):
+        assert total == n <= take <= 2 * n + 1 and take - longest[s] < tokens[s] <= take
+        assert all(r.weight == pytest.approx(weight) for r in out if r.source == s)
+    ordered = [r.doc_id for r in taken.coalesce(1).collect()]
+    assert ordered == [r.doc_id for r in sorted(mixing.mix(docs).collect(), key=lambda r: (r.block, r.place))]
 
 
 def test_mixing_weights():
-    shares = [0.7, 0.2, 0.1]
+    shares, one = np.array([0.7, 0.2, 0.1]), np.ones(3)
     for goal in (0.75, 0.8, 0.9, 0.99):
         a = mixing.fit_exponent(shares, goal, 100.0)
-        assert mixing.entropy(mixing.weights_at(shares, a)) == pytest.approx(goal * np.log(3), rel=1e-6)
+        assert mixing.entropy(mixing.weights_at(shares, one, a), one) == pytest.approx(goal * np.log(3), rel=1e-6)
     assert mixing.fit_exponent(shares, 0.5, 100.0) == 1.0 and mixing.fit_exponent([1.0]) == 1.0
     a = mixing.fit_exponent(shares, 1.0, 2.0)
-    assert mixing.epochs_at(shares, mixing.weights_at(shares, a)) == pytest.approx(2.0, rel=1e-6)
+    assert mixing.epochs_at(shares, mixing.weights_at(shares, one, a)) == pytest.approx(2.0, rel=1e-6)
+    # equal sources stand together: the same as one by one
+    assert mixing.fit_exponent([0.4, 0.1], 0.95, 9.0, [1, 6]) == pytest.approx(mixing.fit_exponent([0.4, *[0.1] * 6], 0.95, 9.0))
+
+
+def test_mixing_budget(spark):
+    rows = [(k, " ".join(["w"] * 10), "a" if k < 900 else "b") for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for budget, want in ((1000, 1000), (8000, 8000), (10 ** 9, 20000)):
+        out = mixing.mix(df, budget=budget, block_tokens=500).collect()
+        assert want - 20 <= sum(r.n_tokens for r in out) <= want
+        assert max(Counter(r.doc_id for r in out).values()) <= 2 and len({(r.doc_id, r.copy) for r in out}) == len(out)
 
 
 def test_mixing_blocks_hold_the_weights(spark):
     rows = [(k, " ".join(["w"] * 5), "a" if k % 4 else "b") for k in range(800)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.mix(df, block_tokens=1000).collect()
+    out = mixing.mix(df, target_entropy=1.0, block_tokens=1000).collect()
     total = {s: sum(r.n_tokens for r in out if r.source == s) for s in "ab"}
     assert total["b"] == 2000 and total["a"] == 3000
     for block in range(3):
         share = sum(r.n_tokens for r in out if r.block == block and r.source == "a") / sum(r.n_tokens for r in out if r.block == block)
         assert share == pytest.approx(0.6, abs=0.02)
+    assert mixing.fit_exponent([0.75, 0.25]) < 1  # the default's entropy is one that exponents above 0 reach
 
 
 def test_quality_model(spark, docs, empty):
