@@ -2,12 +2,14 @@
 
 quality rules drop the documents they reject; line deduplication drops repeated
 lines; the n-gram join keeps one document of each group of near copies; mixing takes
-each document as often as its source's weight asks, once at least; the codec encodes.
+each document as often as its source's weight asks, once at least, and deals them into
+blocks of the target weights, whose order the rows are written in; the codec encodes.
 """
 
 from __future__ import annotations
 
 import functools
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +48,7 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it, in the mixture's order."""
     return mixing.take(docs)
 
 
@@ -55,16 +57,22 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_codec.digests(docs, tokenizer("piece_bpe_32k.model"), keep=("doc_id", "source"))
 
 
-#: Working folders of stages whose results may not be written yet.
-_made: list[Work] = []
+class _Made(threading.local):
+    """Working folders of stages whose results may not be written yet; of each thread's pipeline its own."""
+
+    def __init__(self):
+        self.works: list[Work] = []
+
+
+_made = _Made()
 
 
 def _stage(step):
     """The step; before it, what earlier stages worked with is deleted, as docs are their written results."""
     @functools.wraps(step)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        sweep(_made, docs)
-        with recorded(_made):
+        sweep(_made.works, docs)
+        with recorded(_made.works):
             return step(spark, docs, sf_dir)
 
     return run_stage
