@@ -275,6 +275,7 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
     links = first.filter(f"100 * inter >= {percent} * uni").select("a", "b")
     if differ:
         links = links.union(ties)
+    links = work.put(links, "first-links", rows=first.count())
     comps = components(links, work, "first-round")
 
     # derived answers: pairs of other components, within the bound that the leader's distances leave

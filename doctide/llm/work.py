@@ -50,6 +50,8 @@ def with_carried(rows: DataFrame, more: str) -> T.StructType:
     return T.StructType([rows.schema["_keep"], *T.StructType.fromDDL(more)])
 
 
+#: Rows of a few numbers each that a file of a working table holds at least, where their count is known.
+ROWS_A_FILE = 1 << 18
 #: Rows whose texts a task holds as Python objects at once.
 ROWS_AT_ONCE = 512
 
@@ -126,8 +128,13 @@ class Work:
             for made in _recorders.lists:
                 made.append(self)
 
-    def put(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        """Write df as a table and return it as read from there."""
+    def put(self, df: DataFrame, name: str, partition_by: str | None = None, rows: int | None = None) -> DataFrame:
+        """Write df as a table and return it as read from there.
+
+        rows: about how many df has; they are written in no more files than these ask for.
+        """
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
