@@ -30,6 +30,55 @@ def lstrip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+", "")
 
 
+#: Items of an array that are folded together: each step of Spark's aggregate copies what it has gathered.
+CHUNK = 128
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once however often then reads it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def fold(items: Column, state: Column, kind: str, step, done=None) -> Column:
+    """Array of what a fold over items gives out, of element type kind, in order.
+
+    step(state, item) gives (the next state, an element or null for none); done(state) gives a
+    last element or null.  A first pass keeps the state before each chunk of items only; a second
+    gathers each chunk's elements, so that n of them cost n * CHUNK copies and not n * n.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def gathered(out, element):
+        return F.when(element.isNotNull(), F.concat(out, F.array(element))).otherwise(out)
+
+    def inner(acc, x):
+        new, element = step(acc["state"], x)
+        return F.struct(new.alias("state"), gathered(acc["out"], element).alias("out"))
+
+    def passed(acc, chunk):
+        now = F.aggregate(chunk, acc["now"], lambda state, x: step(state, x)[0])
+        return F.struct(now.alias("now"), F.concat(acc["all"], F.array(acc["now"])).alias("all"))
+
+    def over(chunks):
+        no_states = F.filter(F.array(state), lambda x: F.lit(False))
+        states = F.aggregate(chunks, F.struct(state.alias("now"), no_states.alias("all")), passed)
+
+        def out(known):
+            parts = F.transform(chunks, lambda chunk, k: F.aggregate(
+                chunk, F.struct(F.get(known["all"], k).alias("state"), none.alias("out")), inner, lambda acc: acc["out"]))
+            if done:
+                parts = F.concat(parts, F.array(gathered(none, done(known["now"]))))
+            return F.flatten(parts)
+
+        return let(states, out)
+
+    def cut(every):
+        numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(every) - 1, F.lit(0)) / CHUNK).cast("int"))
+        return let(F.transform(numbers, lambda k: F.slice(every, k * CHUNK + 1, CHUNK)), over)
+
+    return let(items, cut)
+
+
 def found(body: Column, pattern: str, groups: int = 0) -> Column:
     """All matches in order: start (from 0), line (from 1), text and groups.
 
@@ -38,21 +87,18 @@ def found(body: Column, pattern: str, groups: int = 0) -> Column:
     """
     every = [F.regexp_extract_all(body, F.lit(pattern), F.lit(k)) for k in range(groups + 1)]
     rows = F.arrays_zip(every[0], F.split(body, pattern, -1), *every[1:])
-    start = F.struct(F.lit(0).alias("start"), F.lit(1).alias("line"), F.array().cast(MATCHES).alias("out"))
 
-    def step(acc, e):
-        start = acc["start"] + F.length(e["1"])
-        line = acc["line"] + newlines(e["1"])
+    def step(state, e):
+        start = state["start"] + F.length(e["1"])
+        line = state["line"] + newlines(e["1"])
         one = F.struct(
             start.alias("start"), line.alias("line"), e["0"].alias("txt"),
             F.array(*[e[str(k + 1)] for k in range(1, groups + 1)]).cast("array<string>").alias("g"),
         )
-        new = F.struct(
-            (start + F.length(e["0"])).alias("start"), (line + newlines(e["0"])).alias("line"),
-            F.concat(acc["out"], F.array(one)).alias("out"))
-        return F.when(e["0"].isNull(), acc).otherwise(new)
+        new = F.struct((start + F.length(e["0"])).alias("start"), (line + newlines(e["0"])).alias("line"))
+        return new, F.when(e["0"].isNotNull(), one)
 
-    matches = F.aggregate(rows, start, step, lambda acc: acc["out"])
+    matches = fold(rows, F.struct(F.lit(0).alias("start"), F.lit(1).alias("line")), MATCH, step)
     return F.when(body.rlike(pattern), matches).otherwise(F.array().cast(MATCHES))
 
 

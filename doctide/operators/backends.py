@@ -6,6 +6,8 @@ of nodes one call at a time would take longer than running it on a small table.
 
 from __future__ import annotations
 
+from doctide.functions.patterns import CHUNK
+
 
 def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -89,7 +91,9 @@ def spark_quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-MATCHES = "array<struct<start:int,line:int,txt:string,g:array<string>>>"
+MATCHES = "array<struct<start:int,line:int,txt:string,g:array<string>{ctx}>>"
+#: Characters before a match that say whether it stands in math mode.
+CONTEXT = 200
 
 
 def _newlines(x: str) -> str:
@@ -143,19 +147,34 @@ class SparkBackend(SqlBackend):
         return Sql(f"regexp_extract({x}, {spark_quote(java)}, {k})")
 
     def before(self, n):
-        return Sql(f"substring({self.body}, greatest(e.start - {n}, 0) + 1, least(e.start, {n}))")
+        return Sql(f"right(e.ctx, {n})")
 
     def count(self, x, java, sql=None):
         return Sql(f"regexp_count({x}, {spark_quote(java)})")
 
-    def matches(self, pattern: str, groups: int) -> str:
-        """All matches in order, as functions.patterns.found gives them."""
+    def matches(self, pattern: str, groups: int, context: bool = False) -> str:
+        """All matches in order, as functions.patterns.found gives them; with context, ctx: what stands before each.
+
+        The context goes along from match to match: to cut it out of the body would take time in the match's place.
+        """
         b, p = self.body, spark_quote(pattern)
         every = ", ".join(f"regexp_extract_all({b}, {p}, {k})" for k in range(1, groups + 1))
         own = ", ".join(f"z.`{k + 1}`" for k in range(1, groups + 1))
+        rows = f"arrays_zip(regexp_extract_all({b}, {p}, 0), split({b}, {p}, -1){', ' + every if every else ''})"
         start, line = "a.start + length(z.`1`)", f"a.line + {_newlines('z.`1`')}"
-        return (
-            f"CASE WHEN {b} RLIKE {p} THEN aggregate(arrays_zip(regexp_extract_all({b}, {p}, 0), split({b}, {p}, -1){', ' + every if every else ''}), "
-            f"named_struct('start', 0, 'line', 1, 'out', CAST(array() AS {MATCHES})), (a, z) -> IF(z.`0` IS NULL, a, named_struct("
-            f"'start', {start} + length(z.`0`), 'line', {line} + {_newlines('z.`0`')}, 'out', concat(a.out, array(named_struct("
-            f"'start', {start}, 'line', {line}, 'txt', z.`0`, 'g', CAST(array({own}) AS array<string>)))))), a -> a.out) ELSE CAST(array() AS {MATCHES}) END")
+        before = f"right(concat(a.ctx, right(z.`1`, {CONTEXT})), {CONTEXT})"
+        after = f", 'ctx', right(concat({before}, right(z.`0`, {CONTEXT})), {CONTEXT})" if context else ""
+        end = f"'start', {start} + length(z.`0`), 'line', {line} + {_newlines('z.`0`')}{after}"
+        one = (f"named_struct('start', {start}, 'line', {line}, 'txt', z.`0`, 'g', CAST(array({own}) AS array<string>)"
+               f"{f', {chr(39)}ctx{chr(39)}, {before}' if context else ''})")
+        none = f"CAST(array() AS {MATCHES.replace('{ctx}', ',ctx:string' if context else '')})"
+        first, kind, known = ", 'ctx', ''" if context else "", ",ctx:string" if context else "", ", 'ctx', s[k].ctx" if context else ""
+        zero = f"named_struct('start', 0, 'line', 1{first})"
+        # in chunks, as functions.patterns.fold does
+        chunks = f"transform(sequence(0, (size(r) - 1) div {CHUNK}), k -> slice(r, CAST(k * {CHUNK} + 1 AS INT), {CHUNK}))"
+        states = (f"aggregate(c, named_struct('now', {zero}, 'every', CAST(array() AS array<struct<start:int,line:int{kind}>>)), (o, i) -> named_struct("
+                  f"'now', aggregate(i, o.now, (a, z) -> IF(z.`0` IS NULL, a, named_struct({end}))), 'every', concat(o.every, array(o.now))), o -> o.every)")
+        parts = (f"transform(c, (i, k) -> aggregate(i, named_struct('start', s[k].start, 'line', s[k].line{known}, 'out', {none}), (a, z) -> "
+                 f"IF(z.`0` IS NULL, a, named_struct({end}, 'out', concat(a.out, array({one})))), a -> a.out))")
+        let = lambda name, value, then: f"element_at(transform(array({value}), {name} -> {then}), 1)"
+        return f"CASE WHEN {b} RLIKE {p} THEN {let('r', rows, let('c', chunks, let('s', states, f'flatten({parts})')))} ELSE {none} END"

@@ -64,8 +64,8 @@ WITH base AS (
     count(CASE WHEN event_type = 'page_completed' AND ts_us IS NOT NULL AND page_number IS NOT NULL THEN 1 END) AS pages_completed
   FROM {events} GROUP BY job_id)
 SELECT b.job_id, b.current_page, b.total_pages, b.pages_completed,
-  CASE WHEN b.total_pages > 0 THEN CAST(b.current_page AS DOUBLE) / b.total_pages * 100 ELSE 0.0E0 END AS progress_percent,
-  v.velocity, v.window_size,
+  CASE WHEN b.total_pages > 0 THEN round(CAST(b.current_page AS DOUBLE) / b.total_pages * 100, 1) ELSE 0.0E0 END AS progress_percent,
+  round(v.velocity, 1) AS velocity, v.window_size,
   CASE WHEN v.velocity > 0 AND b.total_pages > b.current_page THEN (b.total_pages - b.current_page) / v.velocity END AS eta_hours
 FROM base b JOIN {velocity} v ON b.job_id = v.job_id WHERE b.starts > 0 AND b.pages_completed > 0
 """

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from doctide.functions.patterns import strip
 
-LETTER_LOOP = r"(?U)\b([a-zA-Z])\s+(?:\1\s+){3,}\1?\b"
-PHRASE_LOOP = r"(?iU)\b((?:\w+\s+){1,5})\1{9,}"
+#: Fixed values.  A letter, blanks, the same three times or more, then one more letter if it ends a word, at a
+#: word's edge: all repeats if that leads to one, else all but the last.  Repeats are possessive, over which Java
+#: loops where it would recurse.
+LETTER_LOOP = r"(?U)\b([a-zA-Z])\s+(?:(?:\1\s+){3,}+(?:\1\b|\b)|(?:\1\s+(?=\1\s)){3,}+\1)"
+PHRASE_LOOP = r"(?iU)\b((?:\w+\s+){1,5})\1{9,}+"
 MERGED = r"(?iU)<!--\s*Content merged with page \d+\s*-->"
 RETRIED = ("repetition_hallucination", "garbled_text")
 CHECKS = ("letters", "phrases", "merge", "garbled")

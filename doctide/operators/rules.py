@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from doctide.functions.patterns import found, lines, lstrip, newlines, rstrip, strip
+from doctide.functions.patterns import fold, found, let, lines, lstrip, newlines, rstrip, strip
 from doctide.operators import symbols
 from doctide.operators.symbol_table import SYMBOLS
 
@@ -71,10 +71,11 @@ def detect(d: Detector) -> Column:
     from doctide.operators.backends import SparkBackend, spark_quote
 
     b = SparkBackend(BODY)
-    matches = b.matches(d.pattern, d.groups)
-    if d.keep is not None:
-        matches = f"filter({matches}, e -> {d.keep(b)})"
     old, new = d.old(b) if d.old else b.txt, d.new(b) if d.new else "CAST(NULL AS STRING)"
+    keep = d.keep(b) if d.keep is not None else None
+    matches = b.matches(d.pattern, d.groups, any("e.ctx" in x for x in (old, new, keep or "")))
+    if keep:
+        matches = f"filter({matches}, e -> {keep})"
     out = (f"transform({matches}, e -> named_struct('line', e.line, 'start', e.start, 'old', {old}, 'new', {new}, "
            "'detail', CAST(NULL AS STRING)))")
     if d.needs:
@@ -114,17 +115,12 @@ def _spaced(body):
 
 def _indented(body):
     """Outside of fences: a line's fences before it are counted in one pass."""
-    start = F.struct(F.lit(False).alias("code"), F.lit(0).alias("i"), none().alias("out"))
+    def step(code, x):
+        fence = strip(x["s"]).startswith("```")
+        hit = ~code & ~fence & x["s"].rlike("^[ \t]") & (strip(x["s"]) != "")
+        return code != fence, F.when(hit, issue(x["i"], F.lit(None), x["s"], lstrip(x["s"])))
 
-    def step(acc, s):
-        i = acc["i"] + 1
-        fence = strip(s).startswith("```")
-        hit = ~acc["code"] & s.rlike("^[ \t]") & (strip(s) != "")
-        more = F.when(hit, F.concat(acc["out"], F.array(issue(i, F.lit(None), s, lstrip(s))))).otherwise(acc["out"])
-        return F.when(fence, F.struct((~acc["code"]).alias("code"), i.alias("i"), acc["out"].alias("out"))).otherwise(
-            F.struct(acc["code"].alias("code"), i.alias("i"), more.alias("out")))
-
-    fenced = F.aggregate(F.split(body, "\n", -1), start, step, lambda acc: acc["out"])
+    fenced = fold(lines(body), F.lit(False), ISSUE, step)
     plain = _line_rule(lambda s: s.rlike("^[ \t]") & (strip(s) != ""), lambda s: s, lstrip)(body)
     return F.when(~body.rlike("(?md)^[ \t]"), none()).when(F.contains(body, F.lit("```")), fenced).otherwise(plain)
 
@@ -163,18 +159,15 @@ def _unwrapped(body):
     marked = F.transform(filled, lambda x: F.struct(
         x["i"].alias("i"), x["s"].alias("s"), open_ended(x["s"]).alias("open"),
         lstrip(x["s"]).rlike(r"^\p{Ll}").alias("low")))
-    start = F.struct(F.lit(0).alias("i"), F.lit("").alias("s"), F.lit(False).alias("open"), none().alias("out"))
-
-    def step(acc, x):
-        join = acc["open"] & x["low"]
-        t = rstrip(acc["s"])
-        at = F.instr(body, acc["s"])
+    def step(last, x):
+        join = last["open"] & x["low"]
+        t = rstrip(last["s"])
+        at = F.instr(body, last["s"])
         one = issue(newlines(F.substring(body, F.lit(1), at - 1)) + 1, F.lit(None),
-                    F.concat(t, F.repeat(F.lit("\n"), x["i"] - acc["i"]), x["s"]), F.concat(t, F.lit(" "), lstrip(x["s"])))
-        return F.struct(x["i"].alias("i"), x["s"].alias("s"), (x["open"] & ~join).alias("open"),
-                        F.when(join, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+                    F.concat(t, F.repeat(F.lit("\n"), x["i"] - last["i"]), x["s"]), F.concat(t, F.lit(" "), lstrip(x["s"])))
+        return F.struct(x["i"].alias("i"), x["s"].alias("s"), (x["open"] & ~join).alias("open")), F.when(join, one)
 
-    return F.aggregate(marked, start, step, lambda acc: acc["out"])
+    return fold(marked, F.struct(F.lit(0).alias("i"), F.lit("").alias("s"), F.lit(False).alias("open")), ISSUE, step)
 
 
 def _garbled(body):
@@ -197,24 +190,23 @@ def _repeated(body):
 
     known = F.transform(F.filter(lines(body), lambda x: keep(x["s"])), lambda x: F.struct(
         F.regexp_replace(strip(x["s"]), r"(?U)\s+", " ").alias("t"), x["i"].alias("i")))
-    start = F.struct(F.lit(None).cast("string").alias("t"), F.array().cast("array<int>").alias("at"),
-                     F.array().cast("array<struct<at:array<int>,t:string>>").alias("out"))
+    group = "struct<at:array<int>,t:string,n:int>"
 
-    def closed(acc):
-        group = F.struct(acc["at"].alias("at"), acc["t"].alias("t"))
-        return F.when(F.size(acc["at"]) >= 3, F.concat(acc["out"], F.array(group))).otherwise(acc["out"])
+    def closed(state):
+        return F.when(state["n"] >= 3, F.struct(state["at"].alias("at"), state["t"].alias("t"), state["n"].alias("n")).cast(group))
 
-    def step(acc, x):
-        same = acc["t"].eqNullSafe(x["t"])
-        return F.struct(
-            x["t"].alias("t"),
-            F.when(same, F.concat(acc["at"], F.array(x["i"]))).otherwise(F.array(x["i"])).alias("at"),
-            F.when(same, acc["out"]).otherwise(closed(acc)).alias("out"))
+    def step(state, x):
+        same = state["t"].eqNullSafe(x["t"])
+        first = F.when(F.size(state["at"]) < 5, F.concat(state["at"], F.array(x["i"]))).otherwise(state["at"])
+        new = F.struct(x["t"].alias("t"), F.when(same, first).otherwise(F.array(x["i"])).alias("at"),
+                       F.when(same, state["n"] + 1).otherwise(1).alias("n"))
+        return new, F.when(~same, closed(state))
 
-    groups = F.array_sort(F.aggregate(F.array_sort(known), start, step, closed))
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"))
+    groups = F.array_sort(fold(F.array_sort(known), start, group, step, closed))
     return F.transform(groups, lambda g: issue(
         F.get(g["at"], F.lit(0)), F.lit(None), None, None,
-        F.concat_ws(" ", F.size(g["at"]).cast("string"), F.array_join(F.slice(g["at"], 1, 5), ","), F.substring(g["t"], 1, 50))))
+        F.concat_ws(" ", g["n"].cast("string"), F.array_join(g["at"], ","), F.substring(g["t"], 1, 50))))
 
 
 def _stray():
@@ -248,14 +240,6 @@ def _script(b, tag, inner):
     return b.when(b.eq(b.lower(tag), "sup"), b.cat("^{", inner, "}"), b.cat("_{", inner, "}"))
 
 
-_PAIR = r"<sup>([^<]+)</sup>"
-
-
-def _scripts(before: str, after_base: str = "") -> str:
-    """RE2 has no references: a tag pair is spelled out by the closing tag's own group, compared in keep."""
-    return before + after_base + r"<(sup|sub)>([^<]+)</(sup|sub)>"
-
-
 def _paired(extra=None, closing=4):
     def keep(b):
         same = b.eq(b.lower(b.g(closing)), "sup"), b.eq(b.lower(b.g(closing - 2)), "sup")
@@ -374,24 +358,26 @@ def _unwrapped_math(body):
         F.concat(*[detect(d) for d in UNWRAPPED_MATH]))
 
 
-_WORDS = r"(?iU)\b((?:\w+\s+){1,4}\w+)\s+(?:\1\s+){4,}"
-_TWO = r"(?iU)\b(\w+\s+\w+)\s+(?:\1\s+){4,}"
-_ONE = r"(?iU)\b(\w{2,})\s+(?:\1\s+){9,}"
+# Fixed values.  Repeats are possessive: nothing follows them that could ask for fewer, and Java then loops
+# over them, where it would recurse once a repeat.
+_WORDS = r"(?iU)\b((?:\w+\s+){1,4}\w+)\s+(?:\1\s+){4,}+"
+_TWO = r"(?iU)\b(\w+\s+\w+)\s+(?:\1\s+){4,}+"
+_ONE = r"(?iU)\b(\w{2,})\s+(?:\1\s+){9,}+"
 
 
 def _looped(body):
-    every = F.concat(*[found(body, p, 1) for p in (_WORDS, _TWO, _ONE)])
-    start = F.array().cast("array<struct<k:string,x:" + ISSUE + ">>")
-
-    def step(acc, e):
+    def one(e, k):
         phrase = e["g"][0]
         key = F.concat_ws(" ", e["line"].cast("string"), F.lower(phrase))
         times = (F.length(e["txt"]) - F.length(F.replace(F.lower(e["txt"]), F.lower(phrase), F.lit("")))) / F.length(phrase)
-        one = issue(e["line"], e["start"], None, None, F.concat_ws(" ", times.cast("int").cast("string"), phrase))
-        new = F.concat(acc, F.array(F.struct(key.alias("k"), one.alias("x"))))
-        return F.when(F.exists(acc, lambda a: a["k"] == key), acc).otherwise(new)
+        return F.struct(key.alias("key"), k.alias("k"), issue(
+            e["line"], e["start"], None, None, F.concat_ws(" ", times.cast("int").cast("string"), phrase)).alias("x"))
 
-    return F.transform(F.aggregate(every, start, step), lambda a: a["x"])
+    every = F.transform(F.concat(*[found(body, p, 1) for p in (_WORDS, _TWO, _ONE)]), one)
+    # the first of each key: equal keys are neighbours once sorted
+    first = fold(F.array_sort(every), F.lit(None).cast("string"), f"struct<k:int,x:{ISSUE}>", lambda key, e: (
+        e["key"], F.when(~key.eqNullSafe(e["key"]), F.struct(e["k"].alias("k"), e["x"].alias("x")))))
+    return F.transform(F.array_sort(first), lambda p: p["x"])
 
 
 def _fragments(body):
@@ -399,36 +385,47 @@ def _fragments(body):
     def in_line(x):
         s = x["s"]
         t = strip(s)
-        spans = F.filter(found(s, r"\$\$|\$[^$]+\$|\$"), lambda e: (
-            (F.length(e["txt"]) > 2) & (strip(F.substring(e["txt"], F.lit(2), F.length(e["txt"]) - 2)) != "")
-            & ~e["txt"].isin("$|$", "$||$")))
-        group = "struct<from:int,to:int,n:int,text:string>"
-        start = F.struct(F.lit(None).cast(group).alias("now"), F.array().cast(f"array<{group}>").alias("out"))
-
-        def closed(acc):
-            return F.when(acc["now"]["n"] >= 2, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"])
-
-        def step(acc, e):
-            to = e["start"] + F.length(e["txt"])
-            inner = F.substring(e["txt"], F.lit(2), F.length(e["txt"]) - 2)
-            gap = F.substring(s, acc["now"]["to"] + 1, e["start"] - acc["now"]["to"])
-            apart = F.regexp_replace(gap, r"\\[a-zA-Z]+", "").rlike("[a-zA-Z]{2,}") | gap.rlike(r"[,;:.!?()\[\]]")
-            joins = acc["now"].isNotNull() & ~F.coalesce(apart, F.lit(True))
-            more = F.struct(acc["now"]["from"].alias("from"), to.alias("to"), (acc["now"]["n"] + 1).alias("n"),
-                            F.concat(acc["now"]["text"], gap, inner).alias("text"))
-            new = F.struct(e["start"].alias("from"), to.alias("to"), F.lit(1).alias("n"), inner.alias("text"))
-            return F.struct(F.when(joins, more).otherwise(new).alias("now"),
-                            F.when(joins, acc["out"]).otherwise(closed(acc)).alias("out"))
-
-        groups = F.aggregate(spans, start, step, closed)
-        out = F.transform(groups, lambda g: issue(
-            x["i"], g["from"], F.substring(s, g["from"] + 1, g["to"] - g["from"]), F.concat(F.lit("$"), g["text"], F.lit("$"))))
+        pattern = r"\$\$|\$[^$]+\$|\$"
+        # each match with what stands before it since the last span: places in a long line are not looked up again
+        rows = F.arrays_zip(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), F.split(s, pattern, -1))
+
+        def span(state, e):
+            txt, gap = e["0"], F.concat(state["gap"], e["1"])
+            inner = F.substring(txt, F.lit(2), F.length(txt) - 2)
+            is_span = (F.length(txt) > 2) & (strip(inner) != "") & ~txt.isin("$|$", "$||$")
+            at = state["at"] + F.length(e["1"])
+            new = F.struct((at + F.length(txt)).alias("at"), F.when(is_span, F.lit("")).otherwise(F.concat(gap, txt)).alias("gap"))
+            return new, F.when(is_span, F.struct(at.alias("start"), gap.alias("gap"), txt.alias("txt"), inner.alias("inner")))
+
+        spans = fold(F.filter(rows, lambda e: e["0"].isNotNull()), F.struct(F.lit(0).alias("at"), F.lit("").alias("gap")),
+                     "struct<start:int,gap:string,txt:string,inner:string>", span)
+
+        def step(now, e):
+            apart = F.regexp_replace(e["gap"], r"\\[a-zA-Z]+", "").rlike("[a-zA-Z]{2,}") | e["gap"].rlike(r"[,;:.!?()\[\]]")
+            joins = (now["n"] > 0) & ~apart
+            more = F.struct((now["n"] + 1).alias("n"), now["first"].alias("first"))
+            new = F.struct(F.lit(1).alias("n"), (now["first"] + now["n"]).alias("first"))
+            return F.when(joins, more).otherwise(new), F.when(~joins & (now["n"] >= 2), now)
+
+        def merged(spans):
+            groups = fold(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("first")), "struct<n:int,first:int>", step,
+                          lambda now: F.when(now["n"] >= 2, now))
+
+            def joined(g, part):
+                return F.array_join(F.transform(F.slice(spans, g["first"] + 1, g["n"]), lambda e, k: F.concat(
+                    F.when(k == 0, F.lit("")).otherwise(e["gap"]), e[part])), "")
+
+            return F.transform(groups, lambda g: issue(
+                x["i"], F.get(spans, g["first"])["start"], joined(g, "txt"), F.concat(F.lit("$"), joined(g, "inner"), F.lit("$"))))
+
+        out = let(spans, merged)
         busy = (F.length(s) - F.length(F.replace(s, F.lit("$"), F.lit(""))) >= 4) & ~t.startswith("$$") & ~t.endswith("$$")
         return F.when(busy, F.filter(out, lambda o: o["old"] != o["new"])).otherwise(none())
 
     return F.when(F.contains(body, F.lit("$")), F.flatten(F.transform(lines(body), in_line))).otherwise(none())
 
 
+#: Fixed values.
 LABELS = ("def", "thm", "lem", "prop", "cor", "ex", "rem", "eq", "sec", "chap", "fig", "tab", "defn", "lemma", "theorem",
           "proposition", "corollary", "example", "remark", "equation", "section", "chapter", "figure", "table")
 LABEL = "(?i)^[ \t]*(?:" + "|".join(LABELS) + "):[A-Za-z0-9_-]+[ \t]*$"
@@ -446,7 +443,7 @@ RULES = [
     Rule("orphaned_list_marker", WARN, "Flag list markers that have no content after them.", expression=_dropped_line("(?U)" + MARKER)),
     Rule("unwrapped_sentences", FIX, "Fix sentences that are randomly split across lines mid-sentence.", expression=_unwrapped),
     Rule("excessive_horizontal_rules", FIX, "Remove excessive consecutive horizontal rules (---).", [
-        Detector(r"(?U)(?:---\s*\n\s*){3,}", 0, lambda b: b.lit("---\n\n"), sql=r"(?:---\s*\n\s*){3,}", needs="---")]),
+        Detector(r"(?U)(?:---\s*\n\s*){3,}+", 0, lambda b: b.lit("---\n\n"), sql=r"(?:---\s*\n\s*){3,}", needs="---")]),
     Rule("page_number", FIX, "Detect and remove standalone page numbers.",
          expression=_dropped_line("(?U)" + NUMBER, lambda s: strip(s).cast("int").between(1, 999))),
     Rule("page_marker", FIX, "Remove HTML comment page markers from transcription.", [

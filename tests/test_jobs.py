@@ -104,7 +104,9 @@ def test_metrics(spark):
     rows = log(spark, [started(10), *map(page, range(1, 7)), beat(6)])
     m = jobs.metrics(rows).first()
     assert (m.current_page, m.pages_completed, m.window_size, m.progress_percent) == (6, 6, 6, 60.0)
-    assert m.velocity == pytest.approx(6 / (5 / 3600)) and m.eta_hours == pytest.approx(4 / m.velocity)
+    assert m.velocity == 4320.0 and m.eta_hours == pytest.approx(4 / 4320)
+    odd = jobs.metrics(log(spark, [started(3), *map(page, (1, 2, 4, 5, 8)), beat(2)])).first()
+    assert odd.progress_percent == 66.7 and odd.velocity == round(odd.velocity, 1)
     few = jobs.metrics(log(spark, [started(10), page(1)])).first()
     assert (few.velocity, few.window_size, few.eta_hours, few.progress_percent) == (0.0, 0, None, 0.0)
 

@@ -129,3 +129,15 @@ def test_own_rules_and_files(spark, tmp_path):
     finally:
         rules.REGISTRY.remove("no_foo")
         rules.RULES.remove(rules.BY_NAME.pop("no_foo"))
+
+
+@pytest.mark.parametrize("rule, unit, most", [
+    ("excessive_horizontal_rules", "---\n", 1), ("repetition_hallucination", "no ", 3), ("repetition_hallucination", "over the hill ", 3),
+    ("page_marker", "<!-- Page 3 -->\n", None), ("unwrapped_math_expressions", "K∗ ", None), ("fragmented_math_expression", "$x$ + ", 1),
+    ("repeated_line", "A running head\n", 1), ("leading_whitespace", "  a\n```\nx\n```\n", None)])
+def test_long_documents_of_one_artifact(spark, rule, unit, most):
+    """Neither the depth of a match nor the number of matches stops a document."""
+    n = 20_000
+    found = lint.issues(spark.createDataFrame([(1, unit * n)], "doc_id long, text string"), [rule])
+    count, last = found.count(), found.agg(F.max("line")).first()[0]
+    assert 1 <= count <= most if most else count in (n, n // 2) and last in (n, 1, 4 * n - 3 - 4 * (n % 2))
