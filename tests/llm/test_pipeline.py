@@ -28,7 +28,7 @@ def test_stages(spark):
     assert two.columns == docs.columns and {i: t for i, (t, _) in got.items()} == {i: x[2] for i, x in want.items()}
     assert all(n == len(got[i][0]) for i, (_, n) in got.items() if want[i][1])
     three = copies(spark, two, "").cache()
-    classes = brute.ngram_classes({i: t for i, (t, _) in got.items()})
+    classes = brute.ngram_classes({i: t for i, (t, _) in got.items()}, 5, 80)
     assert three.columns == docs.columns and {r.doc_id for r in three.collect()} == {c for _, c in classes.values()}
     four = mixture(spark, three, "").cache()
     times = Counter(r.doc_id for r in four.collect())
