@@ -8,6 +8,7 @@ implementation of these rules.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -532,8 +533,20 @@ def register(rule: Rule) -> None:
 
 
 def python_rule(name: str, severity: str, find: Callable[[str], list[tuple]], summary: str = "No description") -> Rule:
-    """A rule from a function: text -> [(line, start, old, new, detail)].  It runs as an Arrow UDF."""
+    """A rule from a function: text -> [(line, start, old, new, detail)].  It runs as an Arrow UDF.
+
+    Where the function raises, what it has found in that text so far stays, and the error is logged.
+    """
+    def guarded(text):
+        out = []
+        try:
+            for x in find(text) if text else ():
+                out.append(tuple(x))
+        except Exception:
+            logging.getLogger(__name__).exception("rule %s failed", name)
+        return out
+
     def expression(body):
-        return F.coalesce(F.udf(lambda t: list(find(t)) if t else [], ISSUES, useArrow=True)(body), none())
+        return F.coalesce(F.udf(guarded, ISSUES, useArrow=True)(body), none())
 
     return Rule(name, severity, summary, expression=expression)

@@ -141,3 +141,20 @@ def test_long_documents_of_one_artifact(spark, rule, unit, most):
     found = lint.issues(spark.createDataFrame([(1, unit * n)], "doc_id long, text string"), [rule])
     count, last = found.count(), found.agg(F.max("line")).first()[0]
     assert 1 <= count <= most if most else count in (n, n // 2) and last in (n, 1, 4 * n - 3 - 4 * (n % 2))
+
+
+def test_a_rule_that_raises_keeps_what_it_found(spark):
+    from doctide.operators import rules
+
+    def find(text):
+        yield 1, 0, "a", None, None
+        raise ValueError(text)
+
+    rules.register(rules.python_rule("raises", rules.WARN, find))
+    try:
+        assert found(spark, "a\n\n\n\n\nb", ["raises", "excessive_blank_lines"])[0][:2] == (1, "a")
+        assert len(found(spark, "a\n\n\n\n\nb", ["raises", "excessive_blank_lines"])) == 2
+    finally:
+        del rules.BY_NAME["raises"]
+        rules.RULES[:] = [r for r in rules.RULES if r.name != "raises"]
+        rules.REGISTRY.remove("raises")
