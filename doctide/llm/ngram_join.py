@@ -302,7 +302,7 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
     if differ:
         member = member.join(tied, "id", "left").select("id", "n_shingles", F.coalesce("rep", "a").alias("rep"))
     return member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.coalesce("comp", "rep", "id").alias("component_id"))
+        F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id")).alias("component_id"))
 
 
 def _skip_blocks(entries: DataFrame, other: str, percent: int) -> DataFrame:
