@@ -125,6 +125,8 @@ def search(df: DataFrame, vector: str = "embedding", id_col: str = "vec_id", eve
         "id", "v", dealt(1, n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("part"))
     vectors = rows.select(
         "id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), dealt(2, n_groups).alias("part"))
+    # dealt by number: a cell is little data and much work, which sizes alone would put together in one task
+    queries, vectors = (x.repartition(n_blocks * n_groups, "block", "part") for x in (queries, vectors))
     found = queries.groupBy("block", "part").cogroup(vectors.groupBy("block", "part")).applyInArrow(_cell(k), RESULT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
