@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from doctide.llm import license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, sharding, suffix_dedup, topk
+from doctide.llm import bloom, license_scan, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, sharding, suffix_dedup, topk
 from doctide.llm.queries import tokenizer
 from doctide.llm.work import Work
 
@@ -80,14 +80,14 @@ def test_filters_merge_as_their_keys():
     a, b = (rnd.integers(0, 4000, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
     parts = []
     for x in (a, b):
-        f = line_dedup.Filters(1 << 16)
+        f = bloom.Filters(1 << 16)
         f.add(x[:1000])
         f.add(x[1000:])
         parts.append((f.once, f.twice))
-    _, twice = line_dedup.merge(parts)
+    _, twice = bloom.merge(parts)
     values, counts = np.unique(np.concatenate([a, b]), return_counts=True)
-    assert line_dedup.Filters.has(twice, values[counts > 1]).all()
-    assert line_dedup.Filters.has(twice, values[counts == 1]).mean() < 0.5
+    assert bloom.Filters.has(twice, values[counts > 1]).all()
+    assert bloom.Filters.has(twice, values[counts == 1]).mean() < 0.5
 
 
 def _suffix(df, **more):
