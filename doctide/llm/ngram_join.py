@@ -225,7 +225,7 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
     spark = df.sparkSession
     work = Work(spark, "ngram-join")
     rows = _rows(df, text, id_col)
-    scan = work.put(rows.mapInArrow(_scan(n), "kind int, id long, n long, h1 long, h2 long"), "scan", "kind")
+    scan = work.put(rows.mapInArrow(_scan(n), "kind int, id long, n long, h1 long, h2 long"), "scan")
     info = scan.filter("kind = 0")
     often = (scan.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).filter(F.col("c") >= OFTEN)
              .orderBy(F.desc("c"), "id").limit(FREQUENT).toArrow())
@@ -275,7 +275,6 @@ def classes(df: DataFrame, text: str = "text", id_col: str = "doc_id", n: int =
     links = first.filter(f"100 * inter >= {percent} * uni").select("a", "b")
     if differ:
         links = links.union(ties)
-    links = work.put(links, "first-links", rows=first.count())
     comps = components(links, work, "first-round")
 
     # derived answers: pairs of other components, within the bound that the leader's distances leave
