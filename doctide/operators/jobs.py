@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doctide.operators.papers import job_name_cleanup
+
 WINDOW, MIN_PAGES, STALE_SECONDS = 50, 5, 120
 
 DISCOVER = """
@@ -61,12 +63,16 @@ WITH base AS (
     max_by(total_pages, CASE WHEN event_type = 'job_started' THEN seq END) AS total_pages,
     count(CASE WHEN event_type = 'job_started' THEN 1 END) AS starts,
     coalesce(max_by(current_page, CASE WHEN event_type = 'heartbeat' THEN seq END), 0) AS current_page,
+    coalesce(max_by(cpu_percent, CASE WHEN event_type = 'heartbeat' THEN seq END), 0.0E0) AS cpu_percent,
+    coalesce(max_by(memory_mb, CASE WHEN event_type = 'heartbeat' THEN seq END), 0) AS memory_mb,
+    max_by(ts_us, CASE WHEN event_type = 'job_started' THEN seq END) AS started_us,
     count(CASE WHEN event_type = 'page_completed' AND ts_us IS NOT NULL AND page_number IS NOT NULL THEN 1 END) AS pages_completed
   FROM {events} GROUP BY job_id)
 SELECT b.job_id, b.current_page, b.total_pages, b.pages_completed,
   CASE WHEN b.total_pages > 0 THEN round(CAST(b.current_page AS DOUBLE) / b.total_pages * 100, 1) ELSE 0.0E0 END AS progress_percent,
   round(v.velocity, 1) AS velocity, v.window_size,
-  CASE WHEN v.velocity > 0 AND b.total_pages > b.current_page THEN (b.total_pages - b.current_page) / v.velocity END AS eta_hours
+  CASE WHEN v.velocity > 0 AND b.total_pages > b.current_page THEN (b.total_pages - b.current_page) / v.velocity END AS eta_hours,
+  b.cpu_percent, b.memory_mb, b.started_us
 FROM base b JOIN {velocity} v ON b.job_id = v.job_id WHERE b.starts > 0 AND b.pages_completed > 0
 """
 
@@ -90,8 +96,15 @@ def velocity(events: DataFrame, window: int = WINDOW, least: int = MIN_PAGES) ->
     return events.sparkSession.sql(VELOCITY.replace("{window}", str(window)).replace("{least}", str(least)), events=events)
 
 
-def metrics(events: DataFrame, window: int = WINDOW, least: int = MIN_PAGES) -> DataFrame:
-    return events.sparkSession.sql(METRICS, events=events, velocity=velocity(events, window, least))
+def metrics(events: DataFrame, window: int = WINDOW, least: int = MIN_PAGES, as_of: Column | None = None) -> DataFrame:
+    """Progress of started jobs with a page.  as_of adds elapsed_seconds and completion_time."""
+    out = events.sparkSession.sql(METRICS, events=events, velocity=velocity(events, window, least))
+    if as_of is None:
+        return out
+    now = F.unix_micros(as_of)
+    return out.withColumns({
+        "elapsed_seconds": (now - F.col("started_us")) / 1_000_000,
+        "completion_time": F.timestamp_micros(now + F.round(F.col("eta_hours") * 3_600_000_000).cast("long"))})
 
 
 def ranked(jobs: DataFrame) -> DataFrame:
@@ -113,6 +126,11 @@ def resume_state(events: DataFrame) -> DataFrame:
             .withColumn("failed_pages", F.coalesce("failed_pages", F.array().cast("array<int>"))))
 
 
+def with_state_files(resumed: DataFrame, states: DataFrame) -> DataFrame:
+    """resumed, and for jobs whose log gives no state the one that was saved (states: job_id and resumed's other columns)."""
+    return resumed.unionByName(states.join(resumed.select("job_id"), "job_id", "left_anti"), allowMissingColumns=True)
+
+
 def last_completed(events: DataFrame) -> DataFrame:
     """Last completed page, or 0."""
     return events.groupBy("job_id").agg(F.coalesce(F.max(F.when(F.col("event_type") == "page_completed", F.col("page_number"))), F.lit(0)).alias("last_page"))
@@ -177,6 +195,21 @@ def cleanup(logs: DataFrame, outputs: DataFrame) -> DataFrame:
         .when(F.col("_final").isNull(), "keep: no final file").otherwise("delete").alias("decision"))
 
 
+def find_outputs(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """jobs with path, the first final file below a directory whose normalised name is the job's id; null where there is none."""
+    name = job_name_cleanup(F.element_at(F.split("output_dir", "/"), -1))
+    final = files.filter(F.col("file_name").endswith(".md") & ~F.col("file_name").endswith(".original.md"))
+    first = final.groupBy(name.alias("job_id")).agg(F.min(F.concat_ws("/", "output_dir", "file_name")).alias("path"))
+    return jobs.join(first, "job_id", "left")
+
+
+def link_of_log(logs: DataFrame, links: DataFrame) -> DataFrame:
+    """logs (path, output_dir) with link, the one named events.jsonl in output_dir that leads to the log (links: path, target, both resolved)."""
+    at = links.select(F.col("path").alias("link"), F.col("target").alias("path"))
+    here = F.col("link") == F.concat(F.col("output_dir"), F.lit("/events.jsonl"))
+    return logs.join(at, "path", "left").withColumn("link", F.when(here, F.col("link"))).groupBy(*logs.columns).agg(F.max("link").alias("link"))
+
+
 def cleanup_totals(decisions: DataFrame) -> DataFrame:
     return decisions.agg(F.count(F.lit(1)).alias("found"), F.count(F.when(F.col("decision") == "delete", 1)).alias("deleted"),
                          F.count(F.when(F.col("decision") != "delete", 1)).alias("kept"))

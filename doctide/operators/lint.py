@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from doctide.functions.patterns import newlines, rstrip
 from doctide.operators.rules import BY_NAME, FIX, REGISTRY, evaluate
 
+#: Rules whose fixes are applied where none are named.
+DEFAULT_AUTO_FIX = (
+    "excessive_blank_lines", "trailing_whitespace", "leading_whitespace", "header_whitespace", "display_math_whitespace",
+    "page_number", "page_marker", "orphaned_label", "hyphenation_artifact", "html_artifacts", "html_math_notation",
+    "html_subscript_in_math", "footnote_spacing", "merged_content_comment", "unwrapped_math_expressions", "broken_math_delimiters",
+    "broken_norm_notation", "fragmented_math_expression", "space_in_math_variable", "unicode_math_symbols", "bold_number_sets",
+    "merge_math_expressions", "operator_subscript_correction", "unwrapped_sentences", "excessive_horizontal_rules",
+)
+
 log = logging.getLogger(__name__)
 FRONTMATTER = r"(?ds)^---\s*\n.*?\n---\s*\n"
 FOUND = ("struct<line:int,rule_ord:int,ord:int,rule:string,severity:string,start:int,"

@@ -116,7 +116,7 @@ def verify_pages_merge_garbled(spark, sf_dir):
 
 @query("fallback_decision")
 def fallback_decision(spark, sf_dir):
-    rows = _as_pages(spark, sf_dir).withColumn("fallback_text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("12\n"), F.substring("content", 1, 80))))
+    rows = _as_pages(spark, sf_dir).withColumn("fallback_text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("12\n"), "content")))
     return pages.recover(rows).select("doc_id", "is_valid", "error_type", "used_fallback", F.md5("content").alias("content_md5"))
 
 
@@ -171,12 +171,29 @@ def oversized_pages(spark, sf_dir):
 TELEMETRY_SQL = telemetry_sql()
 
 
-def _on_events(sql: str) -> str:
-    return sql.replace("{events}", f"({TELEMETRY_SQL})")
-
-
-def _velocity_sql() -> str:
-    return jobs.VELOCITY.replace("{window}", str(jobs.WINDOW)).replace("{least}", str(jobs.MIN_PAGES))
+#: Apart from the operators: the last row of each kind by position, counts after it by comparing places.
+LAST_SQL = f"""e AS ({TELEMETRY_SQL}), s AS (SELECT DISTINCT ON (job_id) * FROM e WHERE event_type = 'job_started' ORDER BY job_id, seq DESC),
+ h AS (SELECT DISTINCT ON (job_id) * FROM e WHERE event_type = 'heartbeat' ORDER BY job_id, seq DESC),
+ d AS (SELECT DISTINCT ON (job_id) * FROM e WHERE event_type = 'job_completed' ORDER BY job_id, seq DESC),
+ p AS (SELECT job_id, list(ts_us ORDER BY ts_us DESC) FILTER (WHERE ts_us IS NOT NULL AND page_number IS NOT NULL) AS t, count(*) AS n
+  FROM e WHERE event_type = 'page_completed' GROUP BY job_id)"""
+JOBS_SQL = f"""WITH {LAST_SQL} SELECT j.job_id, s.total_pages, s.quality, epoch_us(s.ts) AS started_us, coalesce(p.n, 0) AS pages_completed,
+ CASE WHEN h.job_id IS NULL THEN coalesce((SELECT greatest(max(x.page_number), 0) FROM e x WHERE x.job_id = j.job_id AND x.event_type = 'page_completed'), 0)
+  ELSE (SELECT greatest(max(x.page_number), h.current_page) FROM e x WHERE x.job_id = j.job_id AND (x.seq = h.seq OR x.event_type = 'page_completed' AND x.seq > h.seq)) END AS current_page,
+ epoch_us(h.ts) AS heartbeat_us, coalesce(h.cpu_percent, 0) AS cpu_percent, coalesce(h.memory_mb, 0) AS memory_mb, epoch_us(d.ts) AS completed_us,
+ coalesce(d.error_count, 0) + (SELECT count(*) FROM e x WHERE x.job_id = j.job_id AND x.severity = 'error' AND x.seq > coalesce(d.seq, -1)) AS error_count,
+ coalesce(d.warning_count, 0) + (SELECT count(*) FROM e x WHERE x.job_id = j.job_id AND x.severity <> 'error' AND x.seq > coalesce(d.seq, -1)) AS warning_count,
+ d.job_id IS NULL AS is_active FROM (SELECT DISTINCT job_id FROM e) j LEFT JOIN s ON s.job_id = j.job_id LEFT JOIN h ON h.job_id = j.job_id
+ LEFT JOIN d ON d.job_id = j.job_id LEFT JOIN p ON p.job_id = j.job_id"""
+VELOCITY_SQL = f"""WITH {LAST_SQL} SELECT job_id, CASE WHEN len(w) < 5 THEN 0 ELSE len(w) END AS window_size,
+ CASE WHEN len(w) < 5 OR w[1] <= w[-1] THEN 0 ELSE CAST(len(w) AS DOUBLE) / ((w[1] - w[-1]) / 1000000.0 / 3600) END AS velocity
+ FROM (SELECT job_id, t[1:50] AS w FROM p WHERE t IS NOT NULL) x"""
+METRICS_SQL = f"""WITH {LAST_SQL} SELECT s.job_id, coalesce(h.current_page, 0) AS current_page, s.total_pages, CAST(len(p.t) AS BIGINT) AS pages_completed,
+ CASE WHEN s.total_pages > 0 THEN round(CAST(coalesce(h.current_page, 0) AS DOUBLE) / s.total_pages * 100, 1) ELSE 0 END AS progress_percent,
+ round(v.velocity, 1) AS velocity, v.window_size, CASE WHEN v.velocity > 0 AND s.total_pages > coalesce(h.current_page, 0)
+  THEN (s.total_pages - coalesce(h.current_page, 0)) / v.velocity END AS eta_hours, coalesce(h.cpu_percent, 0) AS cpu_percent,
+ coalesce(h.memory_mb, 0) AS memory_mb, s.ts_us AS started_us
+ FROM s JOIN p ON p.job_id = s.job_id JOIN ({VELOCITY_SQL}) v ON v.job_id = s.job_id LEFT JOIN h ON h.job_id = s.job_id"""
 
 
 @query("events_typed", f"SELECT job_id, seq, event_type, page_number, current_page, severity, total_pages FROM ({TELEMETRY_SQL}) t")
@@ -193,8 +210,7 @@ def events_typed(spark, sf_dir):
     return event_log.decode(lines).select("job_id", "seq", "event_type", "page_number", "current_page", "severity", F.nullif("total_pages", F.lit(-1)).alias("total_pages"))
 
 
-@query("job_discover", _on_events(jobs.DISCOVER).replace("SELECT job_id, total_pages, quality, started_at", "SELECT job_id, total_pages, quality, epoch_us(started_at) AS started_us", 1)
-       .replace("last_heartbeat, coalesce", "epoch_us(last_heartbeat) AS heartbeat_us, coalesce").replace("completed_at, error_count", "epoch_us(completed_at) AS completed_us, error_count"))
+@query("job_discover", JOBS_SQL)
 def job_discover(spark, sf_dir):
     out = jobs.discover(telemetry(spark, sf_dir))
     return out.select("job_id", "total_pages", "quality", F.unix_micros("started_at").alias("started_us"), "pages_completed", "current_page",
@@ -202,26 +218,26 @@ def job_discover(spark, sf_dir):
                       "error_count", "warning_count", "is_active")
 
 
-@query("job_velocity", _on_events(_velocity_sql()))
+@query("job_velocity", VELOCITY_SQL)
 def job_velocity(spark, sf_dir):
     return jobs.velocity(telemetry(spark, sf_dir))
 
 
-@query("job_metrics", _on_events(jobs.METRICS).replace("{velocity}", f"({_on_events(_velocity_sql())})"))
+@query("job_metrics", METRICS_SQL)
 def job_metrics(spark, sf_dir):
     return jobs.metrics(telemetry(spark, sf_dir))
 
 
-@query("job_stalled", f"""WITH j AS ({_on_events(jobs.DISCOVER)}) SELECT job_id, is_active, is_active AND
- coalesce((SELECT max(epoch_us(ts)) FROM events) - epoch_us(last_heartbeat) > 120000000, false) AS is_stalled FROM j""")
+@query("job_stalled", f"""SELECT job_id, is_active, is_active AND
+ coalesce((SELECT max(epoch_us(ts)) FROM events) - heartbeat_us > 120000000, false) AS is_stalled FROM ({JOBS_SQL}) j""")
 def job_stalled(spark, sf_dir):
     rows = telemetry(spark, sf_dir)
     as_of = rows.agg(F.max("ts")).first()[0]
     return jobs.stalled(jobs.discover(rows), F.lit(as_of)).select("job_id", "is_active", "is_stalled")
 
 
-@query("job_ranked", f"""WITH j AS ({_on_events(jobs.DISCOVER)}) SELECT job_id, CAST(row_number() OVER (ORDER BY is_active DESC,
- CASE WHEN is_active THEN -current_page END, completed_at DESC, job_id) AS INTEGER) AS place FROM j""")
+@query("job_ranked", f"""SELECT job_id, CAST(row_number() OVER (ORDER BY is_active DESC,
+ CASE WHEN is_active THEN -current_page END, completed_us DESC, job_id) AS INTEGER) AS place FROM ({JOBS_SQL}) j""")
 def job_ranked(spark, sf_dir):
     """Jobs are few beside their events: one row each is numbered."""
     from pyspark.sql import Window
@@ -300,8 +316,8 @@ def job_display_texts(spark, sf_dir):
                                            jobs.progress_bar(F.col("seq") % 101).alias("bar"))
 
 
-OUTPUTS_SQL = """SELECT '/out/' || CAST(o_custkey % 200 AS VARCHAR) AS output_dir,
- CASE o_orderkey % 3 WHEN 0 THEN 'x.md' WHEN 1 THEN 'x.original.md' ELSE 'events.jsonl' END AS file_name FROM orders WHERE o_custkey % 200 < 120 AND o_orderkey % 4 < 3"""
+FILE_NAME = "CASE o_orderpriority WHEN '1-URGENT' THEN 'x.md' WHEN '2-HIGH' THEN 'x.original.md' ELSE 'events.jsonl' END"
+OUTPUTS_SQL = f"SELECT '/out/' || CAST(o_custkey AS VARCHAR) AS output_dir, {FILE_NAME} AS file_name FROM orders"
 
 
 @query("cleanup_decisions", f"""WITH l AS (SELECT job_id, bool_or(event_type = 'job_completed') AS completed,
@@ -310,9 +326,8 @@ OUTPUTS_SQL = """SELECT '/out/' || CAST(o_custkey % 200 AS VARCHAR) AS output_di
  SELECT job_id, completed, CASE WHEN NOT completed THEN 'keep: not completed' WHEN l.output_dir IS NULL THEN 'keep: no output directory'
  WHEN f.output_dir IS NULL THEN 'keep: no final file' ELSE 'delete' END AS decision FROM l LEFT JOIN f ON l.output_dir = f.output_dir""")
 def cleanup_decisions(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_custkey % 200 < 120 AND o_orderkey % 4 < 3")
-    files = orders.select(F.concat(F.lit("/out/"), (F.col("o_custkey") % 200).cast("string")).alias("output_dir"),
-                          F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'x.md' WHEN 1 THEN 'x.original.md' ELSE 'events.jsonl' END").alias("file_name"))
+    files = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.concat(F.lit("/out/"), F.col("o_custkey").cast("string")).alias("output_dir"), F.expr(FILE_NAME).alias("file_name"))
     return jobs.cleanup(telemetry(spark, sf_dir), files)
 
 
@@ -325,18 +340,18 @@ def cleanup_totals(spark, sf_dir):
 
 KEBAB_SQL = (r"regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(strip_accents({}), '[^\x00-\x7F]', '', 'g'),"
              r" '([A-Z]+)([A-Z][a-z])', '\1-\2', 'g'), '([a-z0-9])([A-Z])', '\1-\2', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
-LAST_SQL = r"lower(CASE WHEN contains({0}, ',') THEN split_part({0}, ',', 1) ELSE regexp_extract({0}, '(\S+)$', 1) END)"
+SURNAME_SQL = r"lower(CASE WHEN contains({0}, ',') THEN split_part({0}, ',', 1) ELSE regexp_extract({0}, '(\S+)$', 1) END)"
 
 
-@query("slug_generate", f"""WITH p AS (SELECT doc_id, substr(text, 1, 60) AS title, CASE doc_id % 3 WHEN 0 THEN [source] WHEN 1 THEN ['Anna ' || lang, 'Élan, ' || source]
+@query("slug_generate", f"""WITH p AS (SELECT doc_id, text AS title, CASE doc_id % 3 WHEN 0 THEN [source] WHEN 1 THEN ['Anna ' || lang, 'Élan, ' || source]
  ELSE ['J. ' || source, 'B', 'C'] END AS a FROM documents),
- s AS (SELECT doc_id, title, {KEBAB_SQL.format("CASE len(a) WHEN 1 THEN " + LAST_SQL.format('a[1]') + " WHEN 2 THEN " + LAST_SQL.format('a[1]') + " || '-' || " + LAST_SQL.format('a[2]') + " ELSE " + LAST_SQL.format('a[1]') + " || '-et-al' END")} AS author,
+ s AS (SELECT doc_id, title, {KEBAB_SQL.format("CASE len(a) WHEN 1 THEN " + SURNAME_SQL.format('a[1]') + " WHEN 2 THEN " + SURNAME_SQL.format('a[1]') + " || '-' || " + SURNAME_SQL.format('a[2]') + " ELSE " + SURNAME_SQL.format('a[1]') + " || '-et-al' END")} AS author,
  list_filter(string_split({KEBAB_SQL.format('title')}, '-'), lambda w: w <> '' AND NOT list_contains([{", ".join(map(quote, papers.STOP_WORDS))}], w))[1:3] AS words FROM p)
  SELECT doc_id, author || '-' || CASE WHEN len(words) > 0 THEN array_to_string(words, '-') ELSE 'untitled' END AS slug FROM s""")
 def slug_generate(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     authors = F.expr("CASE doc_id % 3 WHEN 0 THEN array(source) WHEN 1 THEN array('Anna ' || lang, 'Élan, ' || source) ELSE array('J. ' || source, 'B', 'C') END")
-    return docs.select("doc_id", papers.base_slug(F.substring("text", 1, 60), authors).alias("slug"))
+    return docs.select("doc_id", papers.base_slug(F.col("text"), authors).alias("slug"))
 
 
 @query("slug_alias_lookup", """WITH k AS (SELECT lower(n_name) AS key, n_name AS slug, n_nationkey AS ord, 0 AS k FROM nation UNION ALL

@@ -49,6 +49,13 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "s.*").filter(F.col("pdf_source").isNotNull() & F.col("total_pages").isNotNull())
 
 
+def write_state(states: DataFrame, path: str) -> None:
+    """A state file for each job (job_id and the fields of STATE) below path/job_id=..., in the place of those that are there."""
+    fields = [c for c in states.columns if c != "job_id"]
+    states.select("job_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("job_id").text(path)
+
+
 def page_source(requests: DataFrame, extract: Callable[[Iterator], Iterator], schema: str = "doc_id long, page_number int, content string") -> DataFrame:
     """Pages from an outside extractor: extract takes and gives pandas frames, a batch at a time."""
     return requests.mapInPandas(extract, schema)

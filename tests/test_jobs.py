@@ -195,3 +195,34 @@ def test_lifecycle_with_an_error(spark):
     assert [r["event_type"] for r in job.rows][-2:] == ["error", "job_completed"]
     assert job.rows[-2]["error_type"] == "transcription_failure" and (job.rows[-1]["pages_completed"], job.rows[-1]["pages_failed"]) == (3, 1)
     assert event_log.decode(job.lines(spark)).count() == 6
+
+
+def test_metrics_at_a_time(spark):
+    rows = log(spark, [started(10), *map(page, range(1, 7)), beat(6, cpu_percent=12.5, memory_mb=300)])
+    m = jobs.metrics(rows, as_of=F.lit("2026-02-14 20:00:00").cast("timestamp")).first()
+    assert (m.cpu_percent, m.memory_mb, m.elapsed_seconds) == (12.5, 300, 3600.0)
+    assert (m.completion_time.minute, m.completion_time.second) == (0, 3)  # four pages at 4320 an hour
+    bare = jobs.metrics(log(spark, [started(10), page(1)]), as_of=F.lit("2026-02-14 20:00:00").cast("timestamp")).first()
+    assert (bare.cpu_percent, bare.memory_mb, bare.completion_time) == (0.0, 0, None)
+
+
+def test_state_files_stand_in(spark, tmp_path):
+    resumed = jobs.resume_state(log(spark, [started(5), page(3)]))
+    saved = spark.createDataFrame(
+        [("j", "x.pdf", 9, [9], []), ("k", "k.pdf", 7, [1, 2], [4])],
+        "job_id string, pdf_source string, total_pages int, completed_pages array<int>, failed_pages array<int>")
+    documents.write_state(saved, str(tmp_path / "states"))
+    documents.write_state(saved.filter("job_id = 'k'").withColumn("total_pages", F.lit(8)), str(tmp_path / "states"))
+    states = documents.read_state(spark, str(tmp_path / "states" / "*" / "*.txt")).withColumn("job_id", F.regexp_extract("path", "job_id=([^/]+)", 1))
+    got = {r.job_id: (r.total_pages, r.completed_pages, r.failed_pages) for r in jobs.with_state_files(
+        resumed, states.select("job_id", "total_pages", "completed_pages", "failed_pages")).collect()}
+    assert got == {"j": (5, [3], []), "k": (8, [1, 2], [4])}
+
+
+def test_outputs_and_links_of_jobs(spark):
+    files = spark.createDataFrame([("/o/Rising Sea (pub)", "b.md"), ("/o/Rising Sea (pub)", "a.original.md"), ("/o/other", "c.txt")], "output_dir string, file_name string")
+    ids = spark.createDataFrame([("rising-sea-pub",), ("other",)], "job_id string")
+    assert {r.job_id: r.path for r in jobs.find_outputs(ids, files).collect()} == {"rising-sea-pub": "/o/Rising Sea (pub)/b.md", "other": None}
+    logs = spark.createDataFrame([("/t/a.jsonl", "/o/a"), ("/t/b.jsonl", "/o/b"), ("/t/c.jsonl", None)], "path string, output_dir string")
+    links = spark.createDataFrame([("/o/a/events.jsonl", "/t/a.jsonl"), ("/o/x/events.jsonl", "/t/b.jsonl")], "path string, target string")
+    assert {r.path: r.link for r in jobs.link_of_log(logs, links).collect()} == {"/t/a.jsonl": "/o/a/events.jsonl", "/t/b.jsonl": None, "/t/c.jsonl": None}

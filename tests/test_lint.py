@@ -158,3 +158,7 @@ def test_a_rule_that_raises_keeps_what_it_found(spark):
         del rules.BY_NAME["raises"]
         rules.RULES[:] = [r for r in rules.RULES if r.name != "raises"]
         rules.REGISTRY.remove("raises")
+
+
+def test_default_fixes_are_rules():
+    assert set(lint.DEFAULT_AUTO_FIX) <= set(lint.REGISTRY)
