@@ -343,7 +343,7 @@ def repeats(df: DataFrame, text: str = "text", id_col: str = "doc_id", n_batches
     """
     work = Work(df.sparkSession, "suffix-dedup")
     rows = _rows(df, text, id_col)
-    entries = work.put(rows.mapInArrow(_index(n_batches), f"batch int, {ENTRY}"), "entries", "batch")
+    entries = work.put(rows.mapInArrow(_index(n_batches), f"batch int, {ENTRY}"), "entries", partition_by="batch")
     own = family is None
     family, found = IndexFamily(work) if own else family, None
     for k in range(n_batches):

@@ -128,14 +128,17 @@ class Work:
             for made in _recorders.lists:
                 made.append(self)
 
-    def put(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    def put(self, df: DataFrame, name: str, *, partition_by: str | None = None, rows: int | None = None) -> DataFrame:
         """Write df as a table and return it as read from there.
 
+        partition_by: a column by whose values the rows are put into folders, which can be dropped one by one.
         rows: about how many df has; they are written in no more files than these ask for.
         """
         if rows is not None:
             df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
         writer = df.write.mode("overwrite").options(**{"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"})
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
         writer.parquet(f"{self.path}/{name}")
         return self.get(name, df.schema)
 

@@ -136,6 +136,22 @@ def test_suffix_dedup_of_later_batches(spark, docs):
     assert all(list(x) == sorted(x) for p in {r.p for r in parts} for x in [[(r.key, r.seg, r.d1, r.d2, r.s) for r in parts if r.p == p]])
 
 
+def test_suffix_batches_are_read_and_dropped_one_by_one(spark):
+    """The entries' folders, one a batch: the others stay whole when one is dropped; a batch may be empty, and all."""
+    work = Work(spark, "by-batch")
+    for n in (100, 0):
+        made = spark.range(n).select((F.col("id") % 3 * 2).cast("int").alias("batch"), F.col("id").alias("key"))
+        table = work.put(made, f"entries-{n}", partition_by="batch")
+        left = sorted(made.collect())
+        for k in range(5):
+            got = table.filter(F.col("batch") == k).select("batch", "key").collect()
+            assert sorted(got) == [r for r in left if r.batch == k]
+            work.drop(f"entries-{n}/batch={k}")
+            left = [r for r in left if r.batch != k]
+            assert sorted(work.get(f"entries-{n}", made.schema).select("batch", "key").collect()) == left
+    work.drop()
+
+
 def test_suffix_scan_in_pieces_gives_the_same(docs, monkeypatch):
     want = _suffix(docs)
     text = np.frombuffer((brute.texts()[-3] * 3).encode(), np.uint8)
