@@ -72,3 +72,14 @@ def test_queries_on_files(spark, tmp_path, name):
     spark.range(120).select(F.col("id").alias("vec_id"), F.array(*[F.sin(F.col("id") * k).cast("float") for k in range(1, 7)]).alias("embedding")).write.parquet(
         str(tmp_path / "embeddings.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).count() > 0
+
+
+def test_suffix_query_on_a_file(spark, tmp_path):
+    """The query's columns and rows against the plain version; of a single row, one of the batches is empty."""
+    for name, df, texts in (
+            ("many", brute.documents(spark), brute.by_id()),
+            ("one", spark.createDataFrame([(5, "q" * 250)], "doc_id long, text string"), {5: "q" * 250})):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = QUERIES["op3_suffix_dedup"](spark, str(tmp_path / name))
+        assert got.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+        assert sorted(map(tuple, got.collect())) == sorted(brute.suffix_dedup([(i, t.encode()) for i, t in texts.items()]))
